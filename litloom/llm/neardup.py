@@ -5,8 +5,10 @@
 2. A shingle weighs tf * idf, idf = 1 + ln((N + 1) / (df + 1)) / ln(N + 1), so 1 to 2. Each text gets HASHES samples
    (shingle, quantum) and BANDS band keys. Texts with equal word sequences are one class from here on.
 3. Buckets are searched without their pairs: in each of ROUNDS rounds the members of a bucket that are not yet in its
-   leader's component are compared with the leader; buckets whose members are all in one component are done. What is
-   left after that is compared member by member, so no candidate is dropped.
+   leader's component are compared with the leader; buckets whose members are all in one component are done. The
+   texts of what is left meet by an exact prefix filter: by rising document frequency, two texts similar enough share
+   one of their first shingles, what follows it in both is long enough, and a bit set of either shows few enough
+   shingles that the other lacks. These are bounds: no candidate is dropped.
 4. A pair is a link if its weighted Jaccard similarity, or the plain one of its shingle sets, is 0.8 or more, computed
    from whole texts. Components of links are the groups.
 
@@ -36,6 +38,8 @@ ROUNDS = 3
 SLOTS, SLICES = 1 << 20, 64
 FIELDS = 1 << 14
 AT_ONCE = 1 << 14
+#: Longs of the bit set that bounds the overlap of two texts.
+LONGS = 8
 
 
 def shingles(text: str | None) -> tuple[np.ndarray, np.ndarray, int]:
@@ -170,6 +174,29 @@ def _verify(idf, threshold):
     return step
 
 
+def _heads(idf, threshold):
+    """Of each text, the first shingles by rising document frequency, with what stands before and from each on."""
+
+    def step(keys, texts):
+        out = [[] for _ in range(7)]
+        for key, t in zip(keys, texts):
+            values, counts, _ = shingles(t)
+            bits = np.zeros(LONGS * 64, np.uint8)
+            bits[(values % np.uint64(LONGS * 64)).astype(np.int64)] = 1
+            bits = np.packbits(bits).view(np.int64).tolist()
+            rarity = idf.value[slots(values)]
+            order = np.lexsort((values, -rarity))
+            rest = np.cumsum((counts * rarity)[order].astype(np.float64)[::-1])[::-1]
+            n = len(values)
+            # Whichever similarity is to be reached, what comes after the head cannot reach it alone.
+            last = max(n - int(np.ceil(threshold * n - 1e-9)) + 1, int((rest >= threshold * rest[0] * (1 - 1e-6)).sum()))
+            for column, x in zip(out, ([key] * last, values[order][:last].view(np.int64).tolist(), range(last), [n] * last, rest[:last].tolist(), [float(rest[0])] * last, [bits] * last)):
+                column.extend(x)
+        return out
+
+    return step
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, comp (the least node) of undirected edges a, b. Minimum labels with pointer jumping; every step is a
     pre-aggregated join, and steps are cut by files in the shared folder."""
@@ -209,29 +236,50 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, text: str = "
         of_b = texts.select(F.col("class").alias("b"), F.col("text").alias("of_b"))
         return map_columns(pairs.join(of_a, "a").join(of_b, "b").select("a", "b", "of_a", "of_b"), schema, _verify, idf, threshold)
 
-    def placed() -> DataFrame:
+    def placed(rows: DataFrame) -> DataFrame:
         if comps is None:
-            return members.withColumn("comp", F.col("class"))
-        return members.join(comps.withColumnRenamed("node", "class"), "class", "left").withColumn("comp", F.coalesce("comp", "class"))
+            return rows.withColumn("comp", F.col("class"))
+        return rows.join(comps.withColumnRenamed("node", "class"), "class", "left").withColumn("comp", F.coalesce("comp", "class"))
 
     tested = None
+    def unmerged(here: DataFrame, by: list[str], rank) -> DataFrame:
+        """Buckets with members of several components, the class of least rank and its component."""
+        lead = F.min(F.struct(rank.alias("rank"), "class", "comp")).alias("lead")
+        open_ = here.groupBy(*by).agg(F.min("comp").alias("low"), F.max("comp").alias("high"), lead).where("low <> high")
+        return open_.select(*by, F.col("lead.class").alias("leader"), F.col("lead.comp").alias("main"))
+
+    bucket = ["band", "bucket"]
     for turn in range(ROUNDS + 1):
-        here = placed()
-        by = F.min(F.struct((F.xxhash64("class", F.lit(turn), "band") if turn else F.col("class")).alias("rank"), "class", "comp")).alias("lead")
-        open_ = here.groupBy("band", "bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), by).where("low <> high")
-        open_ = open_.select("band", "bucket", F.col("lead.class").alias("leader"), F.col("lead.comp").alias("main"))
-        left = here.join(open_, ["band", "bucket"]).where("comp <> main")
+        here = placed(members)
+        if turn == ROUNDS - 1 and links is not None:  # of each bucket, who has most links so far
+            degree = links.select("a").unionAll(links.select("b")).groupBy(F.col("a").alias("class")).agg(F.count(F.lit(1)).alias("links"))
+            ranked = here.join(degree, "class", "left").withColumn("rank", F.struct(-F.coalesce("links", F.lit(0)), "class"))
+        else:
+            ranked = here.withColumn("rank", F.xxhash64("class", F.lit(turn), "band") if turn else F.col("class"))
+        open_ = unmerged(ranked, bucket, F.col("rank"))
         if turn < ROUNDS:
+            left = here.join(open_, bucket).where("comp <> main")
             pairs = left.select(F.least("class", "leader").alias("a"), F.greatest("class", "leader").alias("b"))
         else:
-            right = here.select("band", "bucket", F.col("class").alias("other"), F.col("comp").alias("there"))
-            pairs = left.join(right, ["band", "bucket"]).where("comp <> there AND (there = main OR class < other)").select(F.least("class", "other").alias("a"), F.greatest("class", "other").alias("b"))
+            some = here.join(open_.select(bucket), bucket, "left_semi").select("class").distinct()
+            heads = map_columns(texts.join(some, "class").select("class", "text"), "class long, shingle long, before int, n int, rest double, total double, bits array<long>", _heads, idf, threshold)
+            heads = placed(settle(heads, "heads"))
+            left = heads.join(unmerged(heads, ["shingle"], F.col("class")), "shingle").where("comp <> main")
+            right = heads.select("shingle", *[F.col(c).alias(f"{c}2") for c in ("class", "before", "n", "rest", "total", "bits", "comp")])
+            part = threshold / (1 + threshold)
+            # A bit that only one text has set is a shingle, of weight 1 or more, that the other lacks.
+            lacks = [" + ".join(f"bit_count({x}[{i}] & ~{y}[{i}])" for i in range(LONGS)) for x, y in (("bits", "bits2"), ("bits2", "bits"))]
+            plain = f"least(n - before, n2 - before2, n - ({lacks[0]}), n2 - ({lacks[1]})) >= {part} * (n + n2) - 1e-6"
+            heavy = f"least(rest, rest2, total - ({lacks[0]}), total2 - ({lacks[1]})) >= {part} * (total + total2) * (1 - 1e-6)"
+            far = f"{plain} OR {heavy}"
+            met = left.join(right, "shingle").where(f"comp <> comp2 AND (comp2 = main OR class < class2) AND ({far})")
+            pairs = met.select(F.least("class", "class2").alias("a"), F.greatest("class", "class2").alias("b"))
         pairs = pairs.distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = settle(pairs, "pairs")
         if pairs.isEmpty():
-            break
+            continue
         tested = pairs if tested is None else tested.unionByName(pairs)
         fresh = settle(verified(pairs).distinct(), "links")
         links = fresh if links is None else links.unionByName(fresh)
