@@ -1 +1 @@
-from . import scalars  # noqa: F401
+from . import engine, scalars, text  # noqa: F401

@@ -54,8 +54,8 @@ scalar("F11_fulltext_status", "orders", "o_orderkey", lambda: T.fulltext_status(
 scalar("F12_normal_text", "documents", "doc_id", lambda: T.normal_text(c("text")), r"lower(trim(regexp_replace(" + SQUEEZE.format("text") + r", '^[^\p{L}\p{N}_]|[^\p{L}\p{N}_]$', '', 'g')))")
 scalar("F13_entity_name", "part", "p_partkey", lambda: T.entity_name(F.expr("if(p_size % 6 = 0, ' * (gpu). ', concat('- \"', p_name, '\";'))")), "CASE WHEN p_size % 6 = 0 THEN 'GPU' ELSE p_name END")
 scalar("F14_statement_text", "documents", "doc_id", lambda: T.statement_text(c("text")), "CASE WHEN regexp_matches(" + SQUEEZE.format("text") + ", '[.!?]$') THEN " + SQUEEZE.format("text") + " ELSE concat(" + SQUEEZE.format("text") + ", '.') END")
-AT = "coalesce(nullif(position('THE ' IN text), 0), nullif(position('the ' IN lower(text)), 0), 0)"
-scalar("F15_evidence_span", "documents", "doc_id", lambda: F.to_json(T.evidence_span(c("text"), F.lit("THE "))), f"""CASE WHEN {AT} > 0 THEN concat('{{"start":', {AT} - 1, ',"end":', {AT} + 3, '}}') END""")
+AT = "coalesce(nullif(position('THE' IN text), 0), nullif(position('the' IN lower(text)), 0), 0)"
+scalar("F15_evidence_span", "documents", "doc_id", lambda: F.to_json(T.evidence_span(c("text"), F.lit("THE"))), f"""CASE WHEN {AT} > 0 THEN concat('{{"start":', {AT} - 1, ',"end":', {AT} + 2, '}}') END""")
 scalar("F16_tokens", "documents", "doc_id", lambda: F.array_join(T.tokens(c("text")), " "), f"array_to_string({tokens_sql('text')}, ' ')")
 scalar("F17_token_set", "benchmark", "item_id", lambda: F.array_join(F.array_sort(T.token_set(c("text"))), " "), f"array_to_string(list_sort(list_distinct({tokens_sql('text', chr(39) * 2)})), ' ')")
 scalar("F18_paragraph", "documents", "doc_id", lambda: T.paragraph(c("text")), SQUEEZE.format(r"regexp_replace(text, '(\p{L})-\n\s*(\p{Ll})', '\1\2', 'g')"))
