@@ -28,6 +28,7 @@ RULES = [
     ("forge", r"gh[pousr]_[A-Za-z0-9]+", 0, 40),
     ("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 0),
 ]
+LEDGER = "blob binary, found array<struct<kind:string,start:int,end:int>>, rules string"
 BASE = ("assign", "access", "hex")
 
 
@@ -75,7 +76,7 @@ class Ledger:
     def rows(self) -> DataFrame | None:
         conf = self.spark._jsparkSession.sessionState().newHadoopConf()
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        return self.spark.read.parquet(self.path) if path.getFileSystem(conf).exists(path) else None
+        return self.spark.read.schema(LEDGER).parquet(self.path) if path.getFileSystem(conf).exists(path) else None
 
 
 def findings(versions: DataFrame, ledger: Ledger, rules=RULES, path: str = "path", content: str = "content") -> DataFrame:

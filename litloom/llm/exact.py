@@ -61,7 +61,7 @@ class DigestIndex:
 
     def rows(self) -> DataFrame:
         """The index read as files: both sides of a join with it are exchanged, so that hot digests can be split."""
-        return self.spark.read.parquet(self.path)
+        return self.spark.read.schema(self.spark.table(self.name).schema).parquet(self.path)
 
 
 def dedup(docs: DataFrame, index: DigestIndex, text: str = "text", id: str = "doc_id") -> DataFrame:
