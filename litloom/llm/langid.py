@@ -100,10 +100,13 @@ class Model:
 def train(rows: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     """rows: text, lang. Texts without letters and null languages teach nothing."""
     rows = rows.where("lang is not null and text is not null").select("lang", "text", F.xxhash64("text").alias("hash"))
-    sizes = rows.groupBy("lang").agg(F.approx_count_distinct("hash").alias("n"))
+    # As many rows as languages; the model has a column of weights for each.
+    sizes = rows.groupBy("lang").agg(F.approx_count_distinct("hash").alias("n")).collect()
+    if not sizes:
+        return Model([], [], [])
     ring = 1 << 30
-    part = F.least(F.lit(1.0), F.lit(1.5 * per_language) / F.col("n")) * ring
-    near = rows.join(sizes, "lang").where(F.pmod("hash", F.lit(ring)) < part)
+    part = F.create_map(*[F.lit(x) for r in sizes for x in (r.lang, int(min(1.0, 1.5 * per_language / max(1, r.n)) * ring))])
+    near = rows.where(F.pmod("hash", F.lit(ring)) < F.element_at(part, F.col("lang")))
     some = near.groupBy("lang", "hash").agg(F.min("text").alias("text"))
 
     def make():
