@@ -107,6 +107,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", id: str = "doc_id") -> D
     found = settle(map_columns(rows, f"id {kind}, place long, at int, size int, hash long", _runs), "runs")
     order = F.struct(F.col("id").isNull().alias("none"), "id", "place", "at")
     firsts = found.groupBy("hash").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("hash", "first")
+    firsts = settle(firsts, "firsts")  # so that both sides of the join are exchanged and a hot hash can be split
     later = found.join(firsts, "hash").where(order != F.col("first"))
     # A text's marks: bounded by its own units, whatever the corpus holds.
     marks = later.select("id", "place", "at", "size").distinct().groupBy("id", "place").agg(F.collect_list(F.struct("at", "size")).alias("marks"))
