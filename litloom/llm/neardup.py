@@ -265,6 +265,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, text: str = "
             heads = map_columns(texts.join(some, "class").select("class", "text"), "class long, shingle long, before int, n int, rest double, total double, bits array<long>", _heads, idf, threshold)
             heads = placed(settle(heads, "heads"))
             left = heads.join(unmerged(heads, ["shingle"], F.col("class")), "shingle").where("comp <> main")
+            left = settle(left, "left")  # so that both sides of the join are exchanged and a hot shingle can be split
             right = heads.select("shingle", *[F.col(c).alias(f"{c}2") for c in ("class", "before", "n", "rest", "total", "bits", "comp")])
             part = threshold / (1 + threshold)
             # A bit that only one text has set is a shingle, of weight 1 or more, that the other lacks.
