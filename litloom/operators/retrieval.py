@@ -12,10 +12,9 @@ K1, B, RRF = 1.5, 0.75, 60
 
 
 def postings(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
-    """id, term, tf, size (tokens of the document). One row a term and document; made without a shuffle."""
+    """id, term, tf, size (tokens of the document). A document's terms are counted in its task before the shuffle."""
     own = docs.select(F.col(id).alias("id"), tokens(F.col(text)).alias("terms")).withColumn("size", F.size("terms"))
-    each = F.transform(F.array_distinct("terms"), lambda t: F.struct(t.alias("term"), F.size(F.filter("terms", lambda x: x == t)).alias("tf")))
-    return own.select("id", "size", F.explode(each).alias("p")).select("id", "size", "p.term", "p.tf")
+    return own.select("id", "size", F.explode("terms").alias("term")).groupBy("id", "size", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def query_terms(queries: DataFrame, text: str = "text", id: str = "qid") -> DataFrame:
