@@ -8,6 +8,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from litloom.llm import blobledger, bpe, exact, importance, langid, mixing, neardup, oracles, quality, queries, spans, tokencount
@@ -175,9 +176,17 @@ def test_spans(spark, odd, none):
 
 def test_token_counts(spark, odd, none):
     path = public_tokenizers.path("byte_bpe_50k.json")
-    counts = tokencount.Counts(path)
-    own = [t or "" for t in TEXTS]
-    assert counts.count(TEXTS) == [len(e.ids) for e in counts.tokenizer.encode_batch(own, add_special_tokens=False)]
+    library = Tokenizer.from_file(path)
+
+    def brute(texts):
+        return [(len((t or "").encode()), len(library.encode(t or "", add_special_tokens=False).ids)) for t in texts]
+
+    got = tokencount.token_counts(odd, path).collect()
+    assert sorted((r.n_bytes, r.n_tokens) for r in got) == sorted(brute([*TEXTS, TEXTS[-1]]))
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    whole = {r.doc_id: r for r in queries.op8_token_counts(spark, SF).collect()}
+    assert [(whole[i].n_bytes, whole[i].n_tokens) for i in docs] == brute(docs.values())
+    assert all(r.over_limit == (r.n_tokens > 1024) for r in whole.values())
     assert tokencount.token_counts(odd, path).count() == odd.count() and tokencount.token_counts(none, path).count() == 0
 
 
