@@ -1,156 +1,96 @@
 """Token counts without ids.
 
-1. Each text's pre-tokens are counted, a block of texts at a time, and written as posting lists: a row for each distinct
-   pre-token of a block, with the places and frequencies of the texts that hold it. A hot pre-token has a row a block.
-2. The distinct pre-tokens of the corpus are segmented, each once: pre-token, number of pieces.
-3. Posting lists are joined to these numbers and summed by text. Spark sends the numbers to all executors only where
-   their files are small by its own limit; beyond it rows meet in a sort-merge join that AQE may split.
-
-No list of a text's ids is made and no text is shuffled. Special strings of the vocabulary count as one token where they
-stand, as is the library's default. null is empty: 0. Rows with the same id are counted apart.
+A text's pieces are counted first; the distinct pieces of a batch are cut into pre-tokens by the tokenizer itself,
+each distinct pre-token is segmented once a worker (a bounded memo), and a document's count is the sum over its
+pre-token frequencies. No list of a document's ids is ever made, and no text is shuffled. Segmenting each pre-token once in the whole corpus
+instead, with a join of posting lists to its number, was built and measured (see the README): it shuffles more than the
+input, as rare pre-tokens are most of the rows.
+
+Special strings of the vocabulary count as one token where they stand, as is the library's default. null is empty: 0.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 
-import numpy as np
-import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
 
 from .bpe import PIECES, UNEVEN, Memo
-from .common import map_arrow, map_columns, settle
-
-MEMO_PIECES = 300_000
-#: A block of texts ends at so many rows or characters.
-BLOCK_ROWS, BLOCK_CHARS = 4_000, 8_000_000
+from .common import map_columns
 
+MEMO_PIECES, MEMO_WORDS = 300_000, 500_000
 
-class Cutter:
-    """Pre-tokens of texts, by the vocabulary's own pre-tokenizer."""
 
+class Counts:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
         if self.tokenizer.normalizer is not None or "ByteLevel" not in repr(self.tokenizer.pre_tokenizer):
             raise ValueError("pieces are independent for byte-level vocabularies without a normalizer only")
         special = sorted((t.content for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
-        self.of_piece = Memo(MEMO_PIECES)
+        self.of_piece, self.of_word = Memo(MEMO_PIECES), Memo(MEMO_WORDS)
 
-    def pieces(self, text: str) -> tuple[int, list]:
-        """Special strings and pieces. A str stands for the piece with its blank before it, a tuple for itself."""
+    def frequencies(self, text: str | None) -> tuple[int, Counter]:
+        """Special tokens and the frequency of each piece. A str stands for the piece with its blank, a tuple for itself."""
+        if not text:
+            return 0, Counter()
         parts = self.special.split(text) if self.special else [text]
-        out: list = []
+        count: Counter = Counter()
         for part in parts:
             if not part:
                 continue
             if UNEVEN.search(part):
-                out += [(p,) for p in PIECES.findall(part)]
+                count.update((p,) for p in PIECES.findall(part))
             else:
                 first, *rest = part.split(" ")
-                out += [(first,), *rest]
-        return len(parts) - 1, out
+                count.update(rest)
+                count[(first,)] += 1
+        return len(parts) - 1, count
 
-    def _cut(self, new: list) -> dict:
+    def _pieces(self, new: list) -> dict:
         cut = self.tokenizer.pre_tokenizer.pre_tokenize_str
-        return {p: [w for w, _ in cut(p[0] if isinstance(p, tuple) else " " + p)] for p in new}
-
-    def postings(self, texts: list[str | None]) -> tuple[list[int], list[str], np.ndarray, np.ndarray, np.ndarray]:
-        """Specials of each text; pre-tokens, offsets into the last two, and there places of texts and frequencies."""
-        specials, flat, sizes = [], [], []
-        for text in texts:
-            special, own = self.pieces(text) if text else (0, [])
-            specials.append(special)
-            sizes.append(len(own))
-            flat += own
-        distinct = list(set(flat))
-        self.of_piece.fill(set(distinct), self._cut)
-        memo, word, at = self.of_piece.young, {}, {}
-        first, numbers = [0], []
-        for i, p in enumerate(distinct):
-            at[p] = i
-            numbers += [word.setdefault(w, len(word)) for w in memo[p]]
-            first.append(len(numbers))
-        first, numbers = np.array(first), np.array(numbers, np.int64)
-        piece = np.fromiter(map(at.__getitem__, flat), np.int64, len(flat))
-        row = np.repeat(np.arange(len(texts)), sizes)
-        own = np.diff(first)[piece]
-        place = np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own) + np.repeat(first[piece], own)
-        key, times = np.unique(numbers[place] * len(texts) + np.repeat(row, own), return_counts=True)
-        offsets = np.searchsorted(key, np.arange(len(word) + 1) * len(texts))
-        return specials, list(word), offsets, key % max(len(texts), 1), times
-
-
-_cutters: dict[str, Cutter] = {}
-
-
-def cutter(path: str) -> Cutter:
-    if path not in _cutters:
-        _cutters[path] = Cutter(path)
-    return _cutters[path]
-
-
-def _blocks(texts: list[str | None]):
-    start = size = 0
-    for at, text in enumerate(texts):
-        size += len(text or "")
-        if size >= BLOCK_CHARS or at + 1 - start >= BLOCK_ROWS:
-            yield start, at + 1
-            start, size = at + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
-
-
-def postings(docs: DataFrame, path: str, text: str, id: str) -> DataFrame:
-    """block, word, place, times: posting lists. A block's row without a word has its texts' ids, bytes and specials."""
-    kind = docs.schema[id].dataType
-    lists = {"place": T.IntegerType(), "times": T.IntegerType(), "ids": kind, "bytes": T.LongType(), "special": T.IntegerType()}
-    schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("word", T.StringType()), *(T.StructField(n, T.ArrayType(t)) for n, t in lists.items())])
-    arrow = to_arrow_schema(schema)
-
-    def run(batches):
-        own, block = cutter(path), TaskContext.get().partitionId() << 33
-        for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            for start, end in _blocks(texts):
-                special, words, offsets, place, times = own.postings(texts[start:end])
-                n, rows = len(words), end - start
-                sizes = [len((t or "").encode()) for t in texts[start:end]]
-                head = [block, None, None, None, ids.slice(start, rows).to_pylist(), sizes, special]
-                yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(head, arrow)], schema=arrow)
-                if n:
-                    columns = [pa.array(np.full(n, block)), pa.array(words, pa.string())]
-                    columns += [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(x, pa.int32())).cast(arrow.field(f).type) for x, f in ((place, "place"), (times, "times"))]
-                    columns += [pa.nulls(n, arrow.field(f).type) for f in ("ids", "bytes", "special")]
-                    yield pa.RecordBatch.from_arrays(columns, schema=arrow)
-                block += 1
-
-    return map_arrow(docs.select(id, text), run, schema)
-
-
-def piece_counts(words: DataFrame, path: str) -> DataFrame:
-    """word, pieces of each distinct word: the model segments each once."""
+        own = {p: [w for w, _ in cut(p[0] if isinstance(p, tuple) else " " + p)] for p in new}
+        self.of_word.fill({w for words in own.values() for w in words}, self._words)
+        memo = self.of_word.young
+        return {p: sum(memo[w] for w in words) for p, words in own.items()}
 
-    def make():
-        segment = cutter(path).tokenizer.model.tokenize
-        return lambda own: (own, [len(segment(w)) for w in own])
+    def _words(self, new: list[str]) -> dict:
+        segment = self.tokenizer.model.tokenize
+        return {w: len(segment(w)) for w in new}
+
+    def count(self, texts: list[str | None]) -> list[int]:
+        rows = [self.frequencies(t) for t in texts]
+        self.of_piece.fill({p for _, own in rows for p in own}, self._pieces)
+        memo = self.of_piece.young
+        return [special + sum(n * memo[p] for p, n in own.items()) for special, own in rows]
+
+
+_counts: dict[str, Counts] = {}
 
-    return map_columns(words.where("word is not null").select("word").distinct(), "word string, pieces int", make)
+
+def counts(path: str) -> Counts:
+    if path not in _counts:
+        _counts[path] = Counts(path)
+    return _counts[path]
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 1024, text: str = "text", id: str = "doc_id") -> DataFrame:
-    """id, n_bytes, n_tokens, over_limit, a row for each row of docs. null text: 0, 0, false. No rows: none."""
-    own = settle(postings(docs, path, text, id), "postings")
-    pieces = settle(piece_counts(own, path), "pieces")
-    met = own.where("word is not null").select("block", "word", "place", "times").join(pieces, "word")
-    met = met.select("block", "pieces", F.inline(F.arrays_zip("place", "times")))
-    sums = met.groupBy("block", "place").agg(F.sum(F.col("times").cast("long") * F.col("pieces")).alias("n"))
-    rows = own.where("word is null").select("block", F.posexplode(F.arrays_zip("ids", "bytes", "special")).alias("place", "row")).join(sums, ["block", "place"], "left")
-    n = F.col("row.special") + F.coalesce("n", F.lit(0))
-    return rows.select(F.col("row.ids").alias(id), F.col("row.bytes").alias("n_bytes"), n.cast("long").alias("n_tokens"), (n > limit).alias("over_limit"))
+    """id, n_bytes, n_tokens, over_limit, a row for each row of docs. null text: 0, 0, false."""
+
+    def make():
+        def step(keys, texts):
+            own, out = counts(path), []
+            for at in range(0, len(texts), 1000):
+                out += own.count(texts[at : at + 1000])
+            return keys, [len((t or "").encode()) for t in texts], out
+
+        return step
+
+    kind = docs.schema[id].dataType.simpleString()
+    return map_columns(docs.select(id, text), f"`{id}` {kind}, n_bytes long, n_tokens long", make).withColumn("over_limit", F.col("n_tokens") > limit)
