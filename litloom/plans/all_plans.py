@@ -1 +1 @@
-from . import engine, scalars, text  # noqa: F401
+from . import audits, engine, scalars, text  # noqa: F401
