@@ -15,6 +15,25 @@ def referential(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(nodes.select(F.col("id").alias("src")), "src", "left_semi").join(nodes.select(F.col("id").alias("dst")), "dst", "left_semi")
 
 
+def visual(nodes: DataFrame, edges: DataFrame, trusted_only: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Nodes (id, label, kind) and edges for drawing. trusted_only drops edges that are not SUPPORTED; nodes all stay."""
+    kept = edges.where(F.col("support") == "SUPPORTED") if trusted_only else edges
+    return nodes.select("id", F.col("name").alias("label"), "kind"), kept.select("src", "dst", "predicate")
+
+
+def edge_evidence(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges with both ends' names and kinds, null where an end is missing."""
+    out = edges
+    for side in ("src", "dst"):
+        out = out.join(nodes.select(F.col("id").alias(side), F.col("name").alias(f"{side}_name"), F.col("kind").alias(f"{side}_kind")), side, "left")
+    return out
+
+
+def of_kind(nodes: DataFrame, kind: str) -> DataFrame:
+    """Nodes of a kind by id."""
+    return nodes.where(F.col("kind") == kind).orderBy("id")
+
+
 def neighbourhood(edges: DataFrame, start: DataFrame, depth: int, cut) -> DataFrame:
     """Id, hops from the start nodes, edges taken both ways. Only the frontier is joined each hop."""
     both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
