@@ -47,7 +47,7 @@ def components(nodes: DataFrame, edges: DataFrame, cut) -> DataFrame:
 
 def author_overlap(a: Column, b: Column) -> Column:
     """Last names meet; a missing list matches."""
-    return F.when(F.size(a) * F.size(b) <= 0, True).otherwise(F.arrays_overlap(a, b))
+    return F.when(F.coalesce(F.size(a) * F.size(b), F.lit(0)) <= 0, True).otherwise(F.coalesce(F.arrays_overlap(a, b), F.lit(False)))
 
 
 def years_agree(a: Column, b: Column) -> Column:

@@ -1 +1 @@
-from . import audits, dossiers, engine, scalars, text  # noqa: F401
+from . import audits, dossiers, engine, matching, scalars, text  # noqa: F401

@@ -73,3 +73,38 @@ def pdf_verdict(content: Column) -> Column:
 def fulltext_url(pdf: Column, arxiv: Column, repository: Column, open_access: Column) -> Column:
     """SRC12: the first URL there is, in this order."""
     return F.coalesce(pdf, F.concat(F.lit("https://arxiv.org/pdf/"), arxiv), repository, open_access)
+
+
+def store(spark: SparkSession, root: str, names: list[str]) -> dict[str, DataFrame]:
+    """SRC9: all tables of a store by name, each also a temporary view."""
+    out = {name: spark.read.parquet(f"{root}/{name}") for name in names}
+    for name, df in out.items():
+        df.createOrReplaceTempView(name)
+    return out
+
+
+def fetch_status(code: Column, cached: Column) -> Column:
+    """SRC13: outcome of a request from its status code; a cached copy goes before all."""
+    return (
+        F.when(cached, "CACHED").when(code.between(200, 299), "FETCHED").when(code == 404, "NOT_FOUND")
+        .when(code.isin(401, 403), "ACCESS_DENIED").when(code == 429, "RATE_LIMITED").otherwise("FAILED")
+    )
+
+
+def retry_delay(attempt: Column, retry_after: Column, code: Column, most: int = 4) -> Column:
+    """SRC1: seconds until the next try of a request, null where there is none: 1.5^attempt, or what the server asks for."""
+    again = ~code.between(200, 299) & (attempt < most)
+    return F.when(again, F.coalesce(retry_after.cast("double"), F.pow(F.lit(1.5), attempt)))
+
+
+def collected(attempts: DataFrame) -> DataFrame:
+    """SRC14: number and share of each status of attempts."""
+    own = attempts.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+    return own.crossJoin(F.broadcast(attempts.agg(F.count(F.lit(1)).alias("total")))).select("status", "n", F.round(F.col("n") / F.col("total"), 4).alias("share"))
+
+
+def url_map(works: DataFrame) -> DataFrame:
+    """SRC15: key, urls of works (id, doi, best, locations): the best location first, then all others, distinct, by id and by DOI."""
+    urls = F.array_distinct(F.filter(F.concat(F.array("best"), F.coalesce("locations", F.array().cast("array<string>"))), lambda u: u.isNotNull()))
+    rows = works.withColumn("urls", urls).where(F.size("urls") > 0)
+    return rows.select(F.col("id").alias("key"), "urls").unionByName(rows.select(T.doi(F.col("doi")).alias("key"), "urls")).where("key is not null")

@@ -34,3 +34,22 @@ def manifest(tables: dict[str, DataFrame]) -> DataFrame:
         one = df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("name"), "rows")
         out = one if out is None else out.unionByName(one)
     return out
+
+
+def corpus(documents: DataFrame, chunks: dict[str, DataFrame], root: str) -> DataFrame:
+    """SNK9: documents as JSON, each strategy's chunks as Parquet, a review sheet as CSV; returns the manifest."""
+    documents.write.mode("overwrite").json(f"{root}/documents")
+    for name, df in chunks.items():
+        parquet(df, f"{root}/chunks_{name}")
+    return manifest({"documents": documents, **{f"chunks_{name}": df for name, df in chunks.items()}})
+
+
+def extraction(records: DataFrame, relations: DataFrame, rejected: DataFrame, root: str) -> None:
+    """SNK10: three folders of JSON lines."""
+    for name, df in {"records": records, "relations": relations, "rejected": rejected}.items():
+        df.write.mode("overwrite").json(f"{root}/{name}")
+
+
+def sheet(df: DataFrame, path: str, blank: list[str]) -> None:
+    """SNK12: CSV with empty columns for annotators."""
+    df.withColumns({name: F.lit(None).cast("string") for name in blank}).write.mode("overwrite").csv(path, header=True)
