@@ -23,6 +23,8 @@ from .common import map_arrow, map_columns, settle
 from .rolling import Text, grams, mixed
 
 BUCKETS, SHARPNESS, SMOOTH = 1 << 16, 40.0, 0.5
+#: The model of good text is fitted on so many labelled documents at most, the first by a hash of their ids.
+FITTED = 100_000
 
 
 def features(text: str | None) -> np.ndarray:
@@ -98,13 +100,17 @@ def kth(keys: DataFrame, k: int) -> int:
     return ((a - 32768) << 48) | (b << 32) | (c << 16) | d
 
 
-def resample(docs: DataFrame, labels: DataFrame, text: str = "text", id: str = "doc_id", rate: float | None = None) -> DataFrame:
-    """id, weight (log ratio), kept; a row for each row of docs. labels: id, good. rate: the part to keep."""
+def resample(docs: DataFrame, labels: DataFrame, text: str = "text", id: str = "doc_id", rate: float | None = None, fitted: int = FITTED) -> DataFrame:
+    """id, weight (log ratio), kept; a row for each row of docs. labels: id, good. rate: the part to keep.
+
+    The model of good text is fitted on the fitted first good ids by hash: that many ids are broadcast, so that no text
+    is shuffled. All else (the model of raw text, the rate, the weights, the choice) covers all rows.
+    """
     spark = docs.sparkSession
     known = labels.groupBy(F.col(id).alias("of")).agg(F.max(F.col("good").cast("int")).alias("good"))
     share = known.agg(F.avg("good")).first()[0] if rate is None else rate
     rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
-    good = known.where("good = 1").select("of")
+    good = F.broadcast(known.where("good = 1").select("of").orderBy(F.xxhash64("of"), "of").limit(fitted))
     target = rows.join(good, F.col("id") == F.col("of"), "left_semi").select("text")
     own = counts(rows.select("text", F.lit(False).alias("good")))
     own[1] = counts(target.select("text", F.lit(True).alias("good")))[1]
