@@ -30,8 +30,8 @@ def title_similarity(a: Column, b: Column) -> Column:
     return F.when((F.coalesce(F.length(a), F.lit(0)) == 0) | (F.coalesce(F.length(b), F.lit(0)) == 0), 0.0).when(a == b, 1.0).otherwise(both)
 
 
-def similar_titles(titles: DataFrame, least: float = FUZZY) -> DataFrame:
-    """a, b, similarity of distinct titles (id, key) with similarity least or more, a < b.
+def near_titles(titles: DataFrame, least: float = FUZZY) -> DataFrame:
+    """a_id, a_key, b_id, b_key of distinct titles (id, key), a < b, that may reach similarity least.
 
     The Jaccard part must be (least - 0.6) / 0.4 or more, so such pairs share one of the rarest words of each (prefix
     filter): no pair is lost and only pairs with a rare word in common are compared.
@@ -46,7 +46,12 @@ def similar_titles(titles: DataFrame, least: float = FUZZY) -> DataFrame:
     prefix = ranked.select("id", "key", size.alias("size"), F.explode(F.slice("ws", F.lit(1), size - F.ceil(size * F.lit(floor) - 1e-9).cast("int") + 1)).alias("x")).select("id", "key", "size", F.col("x.w").alias("w"))
     a, b = (prefix.select("w", *[F.col(c).alias(f"{s}_{c}") for c in ("id", "key", "size")]) for s in "ab")
     near = a.join(b, "w").where((F.col("a_id") < F.col("b_id")) & (F.least("a_size", "b_size") >= F.lit(floor) * F.greatest("a_size", "b_size") - 1e-9))
-    near = near.drop("w").dropDuplicates(["a_id", "b_id"])
+    return near.drop("w").dropDuplicates(["a_id", "b_id"])
+
+
+def similar_titles(titles: DataFrame, least: float = FUZZY) -> DataFrame:
+    """a, b, similarity of distinct titles (id, key) with similarity least or more, a < b."""
+    near = near_titles(titles, least)
     return near.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), title_similarity(F.col("a_key"), F.col("b_key")).alias("similarity")).where(F.col("similarity") >= least)
 
 
@@ -62,12 +67,50 @@ def match_pairs(records: DataFrame, fuzzy: float = FUZZY, high: float = HIGH) ->
     pairs = same.unionByName(similar_titles(heads, fuzzy))
     for s in "ab":
         pairs = pairs.join(records.select(F.col("id").alias(s), F.col("authors").alias(f"{s}_authors"), F.col("year").alias(f"{s}_year")), s)
+    found = ids.unionByName(pairs.select("a", "b", _level(high).alias("level")).where("level is not null"))
+    return found.groupBy("a", "b").agg(F.min_by("level", _order()).alias("level"))
+
+
+def match_all_pairs(records: DataFrame, fuzzy: float = FUZZY, high: float = HIGH) -> DataFrame:
+    """J7, whole: a, b, level of every two records (id, title, doi, arxiv, authors, year) that match_papers links, a < b.
+
+    Authors and year decide the level, so records are compared by classes of title key, authors and year: each two
+    titles once in either direction (the ratio of matching blocks depends on it), each two classes of theirs once, and
+    the classes' members last. The rows are as many as the links.
+    """
+    rows = records.withColumn("key", T.title_key(F.col("title"))).withColumn("authors", F.array_sort(F.array_distinct("authors")))
+    rows = rows.withColumns({k: F.nullif(F.lower(F.trim(k)), F.lit("")) for k in ("doi", "arxiv")})
+    found = None
+    for k in ("doi", "arxiv"):
+        a, b = (rows.where(F.col(k).isNotNull()).select(F.col("id").alias(s), F.col(k).alias("k")) for s in "ab")
+        some = a.join(b, "k").where("a < b").select("a", "b", F.lit("EXACT").alias("level"))
+        found = some if found is None else found.unionByName(some)
+    named = rows.where(F.coalesce("key", F.lit("")) != "").withColumn("class", F.struct("key", "authors", "year"))
+    classes = named.select("class").distinct()
+    titles = classes.select(F.col("class.key").alias("key")).distinct()
+    near = near_titles(titles.select(F.col("key").alias("id"), "key"), fuzzy).select("a_key", "b_key")
+    near = near.unionByName(near.select(F.col("b_key").alias("a_key"), F.col("a_key").alias("b_key")))
+    near = near.withColumn("similarity", title_similarity(F.col("a_key"), F.col("b_key"))).where(F.col("similarity") >= fuzzy)
+    near = near.unionByName(titles.select(F.col("key").alias("a_key"), F.col("key").alias("b_key"), F.lit(1.0).alias("similarity")))
+    for s in "ab":
+        near = near.join(classes.select(F.col("class.key").alias(f"{s}_key"), F.col("class").alias(f"{s}_class")), f"{s}_key")
+    near = near.withColumns({f"{s}_{k}": F.col(f"{s}_class")[k] for s in "ab" for k in ("authors", "year")})
+    near = near.select("a_class", "b_class", _level(high).alias("level")).where("level is not null")
+    for s in "ab":
+        own = named.select(F.col("id").alias(s), F.col("class").alias("class"))
+        near = near.join(own, F.col(f"{s}_class").eqNullSafe(F.col("class"))).drop("class", f"{s}_class")
+    found = found.unionByName(near.where("a < b").select("a", "b", "level"))
+    return found.groupBy("a", "b").agg(F.min_by("level", _order()).alias("level"))
+
+
+def _level(high: float) -> Column:
     who, when = linkage.author_overlap(F.col("a_authors"), F.col("b_authors")), linkage.years_agree(F.col("a_year"), F.col("b_year"))
     both = F.coalesce(who & when, F.lit(False))
-    level = F.when(F.col("similarity") == 1.0, F.when(both, "EXACT").when(who | when, "HIGH_CONFIDENCE").otherwise("POSSIBLE")).when(both & (F.col("similarity") >= high), "HIGH_CONFIDENCE").when(both, "POSSIBLE")
-    found = ids.unionByName(pairs.select("a", "b", level.alias("level")).where("level is not null"))
-    order = F.when(F.col("level") == "EXACT", 0).when(F.col("level") == "HIGH_CONFIDENCE", 1).otherwise(2)
-    return found.groupBy("a", "b").agg(F.min_by("level", order).alias("level"))
+    return F.when(F.col("similarity") == 1.0, F.when(both, "EXACT").when(who | when, "HIGH_CONFIDENCE").otherwise("POSSIBLE")).when(both & (F.col("similarity") >= high), "HIGH_CONFIDENCE").when(both, "POSSIBLE")
+
+
+def _order() -> Column:
+    return F.when(F.col("level") == "EXACT", 0).when(F.col("level") == "HIGH_CONFIDENCE", 1).otherwise(2)
 
 
 def merge(rows: DataFrame, component: str = "component", order: str = "id") -> DataFrame:

@@ -20,9 +20,19 @@ p AS (SELECT a, y.p_partkey AS b, x.p_brand = y.p_brand AS who, abs(x.p_size - y
 SELECT a, b, CASE WHEN who AND same THEN 'EXACT' WHEN who OR same THEN 'HIGH_CONFIDENCE' ELSE 'POSSIBLE' END AS level FROM p""")
 def j7(spark, sf_dir):
     ship(spark)
+    return matching.match_pairs(parts(spark, sf_dir))
+
+
+@query("F24_J7_J8_all_pairs", """SELECT x.p_partkey AS a, y.p_partkey AS b, CASE WHEN x.p_brand = y.p_brand AND abs(x.p_size - y.p_size) <= 1 THEN 'EXACT' WHEN x.p_brand = y.p_brand OR abs(x.p_size - y.p_size) <= 1 THEN 'HIGH_CONFIDENCE' ELSE 'POSSIBLE' END AS level
+FROM part x JOIN part y ON x.p_name = y.p_name AND x.p_partkey < y.p_partkey""")
+def j7_whole(spark, sf_dir):
+    ship(spark)
+    return matching.match_all_pairs(parts(spark, sf_dir))
+
+
+def parts(spark, sf_dir):
     none = F.lit(None).cast("string")
-    rows = read(spark, sf_dir, "part").select(c("p_partkey").alias("id"), c("p_name").alias("title"), none.alias("doi"), none.alias("arxiv"), F.array("p_brand").alias("authors"), c("p_size").alias("year"))
-    return matching.match_pairs(rows)
+    return read(spark, sf_dir, "part").select(c("p_partkey").alias("id"), c("p_name").alias("title"), none.alias("doi"), none.alias("arxiv"), F.array("p_brand").alias("authors"), c("p_size").alias("year"))
 
 
 @query("A8_merged_records", """WITH r AS (SELECT p_name, p_partkey AS id, CASE WHEN p_size % 5 = 0 THEN upper(p_name) || 'ZZZZZZZZZ' ELSE p_name || repeat('x', p_size % 7) END AS title, p_type AS abstract, CASE WHEN p_size % 3 = 0 THEN '10.1/' || p_partkey END AS doi,

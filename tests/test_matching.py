@@ -33,6 +33,31 @@ def test_match_levels(spark):
     assert matching.match_pairs(frame.where("false")).count() == 0
 
 
+def test_all_pairs_are_those_of_match_papers(spark):
+    """Against every two records compared as match_papers does, so also the links between records that are no heads."""
+    rows = [(i, TITLES[i * 7 % 3 if i < 30 else i % len(TITLES)], f"10.1/{i}" if i % 9 else "10.1/same", "x" if i in (4, 31) else None, [None, ["a"], ["a", "b"], ["z"]][i % 4], [None, 2000, 2001, 2003, 2010][i % 5]) for i in range(40)]
+    rows += [(40, None, None, None, ["a"], 2000), (41, "", None, None, ["a"], 2000)]
+
+    def level(p, q):
+        if (p[2] and p[2] == q[2]) or (p[3] and p[3] == q[3]):
+            return "EXACT"
+        if not p[1] or not q[1]:
+            return None
+        who, when = not p[4] or not q[4] or bool(set(p[4]) & set(q[4])), p[5] is None or q[5] is None or abs(p[5] - q[5]) <= 1
+        if p[1] == q[1]:
+            return "EXACT" if who and when else "HIGH_CONFIDENCE" if who or when else "POSSIBLE"
+        near = similarity(p[1], q[1]) if who and when else 0
+        return "HIGH_CONFIDENCE" if near >= 0.96 else "POSSIBLE" if near >= 0.9 else None
+
+    want = {(p[0], q[0]): level(p, q) for p, q in combinations(rows, 2) if level(p, q)}
+    frame = spark.createDataFrame(rows, "id int, title string, doi string, arxiv string, authors array<string>, year int")
+    got = matching.match_all_pairs(frame).collect()
+    assert {(r.a, r.b): r.level for r in got} == want and len(got) == len(want) and set(want.values()) == {"EXACT", "HIGH_CONFIDENCE", "POSSIBLE"}
+    heads = {(r.a, r.b) for r in matching.match_pairs(frame).collect()}
+    assert len(want.keys() - heads) > 100
+    assert matching.match_all_pairs(frame.where("false")).count() == 0
+
+
 def test_batches_are_checked(spark):
     with pytest.raises(ValueError):
         dossiers.ask(spark.range(dossiers.MOST_ASKED + 1))
