@@ -1,10 +1,16 @@
 """Substring dedup by sliding sentence spans.
 
 A text is cut into sentences (after . ! ? before white space, and at line breaks; a sentence of more than UNIT_WORDS
-words is cut on into units of that many). From each unit starts a run: RUN units or more, until it has RUN_WORDS words.
+words is cut on at places that its own words name, see inner_cuts). From each unit starts a run: RUN units or more,
+until it has RUN_WORDS words.
 Every run's hash is joined globally; a unit covered by a run that stands earlier in the corpus (by id, then position)
 is removed.
 
+Cuts agree wherever a passage starts, but for the first 2 * WINDOW - 2 words and the last 2 * WINDOW - 1, which words
+outside it may cut. Of 51 words 26 lie between, enough for a run: RUN_WORDS - 1 words and one more unit. So a repeated
+passage of 51 words or more always shares a run; at most 12 words stay at its start and 27 at its end, as the last run
+may stop up to 14 words before the last cut that agrees.
+
 Runs are pre-aggregated by hash, so a passage that a third of all documents share is one row a task; only repeated
 hashes come back, by a join whose hot keys Spark may split. A document's text is read again only for its own result.
 
@@ -23,11 +29,20 @@ from pyspark.sql import functions as F
 from .common import map_columns, settle
 from .rolling import Text, mixed
 
-RUN, RUN_WORDS, UNIT_WORDS = 2, 16, 20
+RUN, RUN_WORDS, UNIT_WORDS, WINDOW = 2, 16, 11, 7
 #: Ends of sentences.
 BREAK = re.compile(r"(?<=[.!?])[ \t\x0b\x0c\r]+|\n+")
 
 
+def inner_cuts(words: np.ndarray, sentence: np.ndarray, long: np.ndarray) -> np.ndarray:
+    """Words before which long sentences are cut: the least hash (the last of equal ones) of each WINDOW words of one
+    sentence. So no cut depends on words WINDOW or more away, and none is more than WINDOW words after the one before."""
+    n = len(words) - WINDOW + 1
+    inside = np.flatnonzero(long[: max(n, 0)] & (sentence[: max(n, 0)] == sentence[WINDOW - 1 :]))
+    seen = np.lib.stride_tricks.sliding_window_view(words, WINDOW)[inside, ::-1] if len(inside) else np.zeros((0, WINDOW), np.uint64)
+    return np.unique(inside + WINDOW - 1 - seen.argmin(axis=1))
+
+
 def units(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Start, end (code points, the break after it included), words and hash of each unit."""
     t = Text(text.lower() if len(text.lower()) == len(text) else text)
@@ -37,11 +52,12 @@ def units(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     if not len(first):
         return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
     counts = np.diff(np.append(first, len(t.starts)))
+    words = t.words()
     if (counts > UNIT_WORDS).any():
-        first = np.concatenate([np.arange(a, a + n, UNIT_WORDS) for a, n in zip(first, counts)])
+        first = np.union1d(first, inner_cuts(words, np.repeat(np.arange(len(counts)), counts), np.repeat(counts > UNIT_WORDS, counts)))
         counts = np.diff(np.append(first, len(t.starts)))
     ranks = np.arange(len(t.starts)) - np.repeat(first, counts)
-    sums = np.append(np.uint64(0), np.cumsum(mixed(t.words() + mixed(ranks + 1))))
+    sums = np.append(np.uint64(0), np.cumsum(mixed(words + mixed(ranks + 1))))
     hashes = mixed(sums[first + counts] - sums[first] + counts.astype(np.uint64))
     starts = t.starts[first]
     starts[0] = 0

@@ -174,6 +174,29 @@ def test_spans(spark, odd, none):
     assert spans.remove_repeats(odd).count() == odd.count() and spans.remove_repeats(none).count() == 0
 
 
+def test_spans_start_anywhere(spark):
+    """Passages of 51 words or more inside lines, with few or no stops, against a word-window search by brute force."""
+    draw = np.random.default_rng(5)
+
+    def words(n, stop):
+        return [f"w{draw.integers(50_000)}" + "." * (draw.random() < stop) for _ in range(n)]
+
+    docs, least = [], 51
+    for k in range(60):
+        passage = words(least + k % 50, (0, 0.05, 0.15)[k % 3])
+        docs += [words(draw.integers(1, 45), 0.05) + passage + words(draw.integers(0, 45), 0.05) for _ in range(2)]
+    rows = [(i, " ".join(d)) for i, d in enumerate(docs)]
+    got = {r.doc_id: r for r in spans.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    seen = set()
+    for i, d in enumerate(docs):
+        repeat = [j for j in range(len(d) - least + 1) if tuple(d[j : j + least]) in seen]
+        seen |= {tuple(d[j : j + least]) for j in range(len(d) - least + 1)}
+        size = repeat[-1] - repeat[0] + least if repeat else 0
+        assert bool(repeat) == bool(i % 2) and size >= got[i].n_removed_words >= size - (12 + 27) * bool(repeat)
+        stay = got[i].text.split()
+        assert len(stay) == len(d) - got[i].n_removed_words and (not repeat or stay[: repeat[0]] == d[: repeat[0]])
+
+
 def test_token_counts(spark, odd, none):
     path = public_tokenizers.path("byte_bpe_50k.json")
     library = Tokenizer.from_file(path)
