@@ -1,9 +1,12 @@
 """Mixing sources to target weights by a low-discrepancy schedule, with DataFrame functions only.
 
-Each source's documents are shuffled by a hash and laid on a line of words, cut into blocks of equally many. Slot t of
-the schedule is the point frac(t * golden ratio) (in 31-bit integers, so that reruns agree bit for bit); the point
-falls into the cumulative target weights and names a source. A slot's rank among its source's slots names the block it
-takes, round after round; blocks and slots meet in an equi-join.
+Each source's documents are shuffled by a hash and laid on a line of words, cut into blocks of equally many: BLOCK_WORDS,
+or fewer where that is more than one of PARTS parts of the source. So a target is a number of slots: whole rounds over
+the source and blocks of one more, half a block from the target at most. Slot t of the schedule is the point
+frac(t * golden ratio) (in 31-bit integers, so that reruns agree bit for bit); the point falls into the sources'
+cumulative numbers of slots and names a source. A slot's rank among its source's slots names the block it takes, round
+after round; ranks beyond the source's number are left out, and ranks that the points missed (a few a source) follow
+after the last slot. Blocks and slots meet in an equi-join.
 
 No rank is made over a whole source: slots are ranked in chunks and documents in hash buckets, and offsets come from
 prefix sums over chunks and buckets. So a source with a third of all rows is spread like any other.
@@ -19,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import BLANKS, settle
 
-BLOCK_WORDS, MOST_TIMES = 256, 3
+BLOCK_WORDS, MOST_TIMES, PARTS = 256, 3, 64
 BUCKETS, CHUNK, BINS = 256, 1 << 14, 1024
 RING = 1 << 31
 #: The odd integer nearest to 2**31 / golden ratio.
@@ -32,9 +35,10 @@ def word_count(text):
     return F.regexp_count(flat, F.lit("[^ ]+")).cast("long")
 
 
-def targets(sized: DataFrame, most: int = MOST_TIMES) -> DataFrame:
-    """source, source_size, target, low, high: water-filling. Sources share all words by weight, none above most times
-    its own; low and high are the source's part of the ring of points. One row a source."""
+def targets(sized: DataFrame, most: int = MOST_TIMES, width: int = BLOCK_WORDS) -> DataFrame:
+    """source, source_size, target, width, count, slots, all_slots, low, high: water-filling. Sources share all words by
+    weight, none above most times its own; width and count are the words of a block and the blocks of the source; low
+    and high are its part of the ring of points. One row a source."""
     own = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     order = Window.orderBy(F.col("source").asc_nulls_last())
     own = own.withColumn("weight", (F.pmod(F.row_number().over(order) - 1, F.lit(3)) + 1).cast("long"))
@@ -51,14 +55,21 @@ def targets(sized: DataFrame, most: int = MOST_TIMES) -> DataFrame:
         .withColumn("free", F.col("left") * 6 <= F.col("ratio") * F.col("weights"))
         .withColumn("level", F.min(F.when(F.col("free"), F.struct("ratio", F.col("source").isNull(), "source", "level"))).over(everything).getField("level"))
         .withColumn("target", F.least(F.col("cap").cast("double"), F.col("level") * F.col("weight")))
-        .withColumn("share", F.round(F.col("target") / F.greatest("total", F.lit(1)) * RING).cast("long"))
+        .withColumn("width", F.expr(f"greatest(1, least({width}, total div 4096, source_size div {PARTS}))"))
+        .withColumn("count", F.expr("(source_size + width - 1) div width"))
+        .withColumn("rounds", F.floor(F.col("target") / F.greatest("source_size", F.lit(1))))
+        .withColumn("more", F.round((F.col("target") - F.col("rounds") * F.col("source_size")) / F.col("width")).cast("long"))
+        .withColumn("slots", F.least(F.col("rounds") * F.col("count") + F.least("more", "count"), F.col("count") * most))
+        .withColumn("all_slots", F.sum("slots").over(everything))
+        .withColumn("share", F.round(F.col("slots") / F.greatest("all_slots", F.lit(1)) * RING).cast("long"))
     )
     high = F.sum("share").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return own.withColumn("high", high).select("source", "source_size", "target", "total", (F.col("high") - F.col("share")).alias("low"), "high")
+    return own.withColumn("high", high).select("source", "source_size", "target", "width", "count", "slots", "all_slots", (F.col("high") - F.col("share")).alias("low"), "high")
 
 
-def blocks(sized: DataFrame, width: int) -> DataFrame:
-    """sized with start (first word on the source's shuffled line) and row, which with bucket names a row of a source."""
+def blocks(sized: DataFrame, goals: DataFrame) -> DataFrame:
+    """sized with start (first word on the source's shuffled line), the source's width of a block and row, which with
+    bucket names a row of a source."""
     spread = sized.withColumn("bucket", F.pmod(F.xxhash64("id", F.lit(17)), F.lit(BUCKETS)))
     sums = spread.groupBy("source", "bucket").agg(F.sum("size").alias("in_bucket"))
     line = Window.partitionBy("source").orderBy("bucket")
@@ -67,42 +78,48 @@ def blocks(sized: DataFrame, width: int) -> DataFrame:
     ranked = spread.withColumn("row", F.row_number().over(inside)).withColumn("start", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
     same = F.col("source").eqNullSafe(F.col("of")) & (F.col("bucket") == F.col("at"))
     sums = sums.select(F.col("source").alias("of"), F.col("bucket").alias("at"), "offset")
-    return ranked.join(sums, same).withColumn("start", F.col("start") + F.col("offset")).drop("of", "at", "offset").withColumn("width", F.lit(width))
+    widths = goals.select("source", "width")
+    sums = sums.join(widths, F.col("of").eqNullSafe(F.col("source"))).drop("source")
+    return ranked.join(sums, same).withColumn("start", F.col("start") + F.col("offset")).drop("of", "at", "offset")
 
 
-def schedule(goals: DataFrame, total: int, width: int, most: int = MOST_TIMES) -> DataFrame:
-    """slot, source, block: the order of the mixture. A source's block is taken most times at most."""
+def schedule(goals: DataFrame, n: int) -> DataFrame:
+    """slot, source, block: the order of the mixture, n slots, each source's own number of them."""
     spark = goals.sparkSession
     step = RING // BINS
     cells = goals.where("high > low").withColumn("bin", F.explode(F.sequence(F.expr(f"low div {step}"), F.expr(f"(high - 1) div {step}"))))
-    slots = spark.range((total + width - 1) // width).select(F.col("id").alias("slot"), F.pmod(F.pmod("id", F.lit(RING)) * GOLDEN, F.lit(RING)).alias("point"))
+    slots = spark.range(n).select(F.col("id").alias("slot"), F.pmod(F.pmod("id", F.lit(RING)) * GOLDEN, F.lit(RING)).alias("point"))
     slots = slots.withColumn("bin", F.expr(f"point div {step}"))
-    placed = slots.join(cells, "bin").where("point >= low AND point < high").select("slot", "source", "source_size", F.expr(f"slot div {CHUNK}").alias("chunk"))
+    placed = slots.join(cells, "bin").where("point >= low AND point < high").select("slot", "source", "count", "slots", F.expr(f"slot div {CHUNK}").alias("chunk"))
     sums = placed.groupBy("source", "chunk").agg(F.count(F.lit(1)).alias("in_chunk"))
     sums = sums.withColumn("offset", F.sum("in_chunk").over(Window.partitionBy("source").orderBy("chunk")) - F.col("in_chunk"))
+    met = sums.groupBy(F.col("source").alias("of")).agg(F.sum("in_chunk").alias("met"))
+    late = goals.join(met, F.col("source").eqNullSafe(F.col("of")), "left").withColumn("met", F.coalesce("met", F.lit(0)))
+    before = F.sum(F.greatest(F.col("slots") - F.col("met"), F.lit(0))).over(Window.orderBy(F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1))
+    late = late.withColumn("from", F.coalesce(before, F.lit(0)) + n - F.col("met")).where("slots > met").withColumn("rank", F.explode(F.sequence("met", F.expr("slots - 1"))))
+    late = late.select((F.col("from") + F.col("rank")).alias("slot"), "source", "count", "rank")
     sums = sums.select(F.col("source").alias("of"), F.col("chunk").alias("at"), "offset")
     ranked = placed.withColumn("rank", F.row_number().over(Window.partitionBy("source", "chunk").orderBy("slot")) - 1)
     ranked = ranked.join(sums, F.col("source").eqNullSafe(F.col("of")) & (F.col("chunk") == F.col("at"))).withColumn("rank", F.col("rank") + F.col("offset"))
-    count = F.expr(f"(source_size + {width - 1}) div {width}")
-    return ranked.where(F.col("rank") < most * count).select("slot", "source", F.pmod("rank", count).alias("block"))
+    kept = ranked.where("rank < slots").select("slot", "source", "count", "rank").unionByName(late)
+    return kept.select("slot", "source", F.expr("pmod(rank, count)").alias("block"))
 
 
 def mix(docs: DataFrame, text: str = "text", id: str = "doc_id", source: str = "source", width: int = BLOCK_WORDS) -> dict[str, DataFrame]:
     """rows: a row for each row of docs (id, source, size, source_size, target, taken, first: times its first word is
-    taken); schedule: slot, source, block; width: words of a block, less than asked for where all words are few."""
+    taken); schedule: slot, source, block; width: words of a block at most, fewer where all words or a source's are few."""
     sized = settle(docs.select(F.col(id).alias("id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size")), "sizes")
-    goals = settle(targets(sized), "targets")
-    total = goals.agg(F.max("total")).first()[0] or 0
-    width = max(1, min(width, total // 4096))
-    laid = blocks(sized, width)
-    slots = schedule(goals, total, width)
+    goals = settle(targets(sized, width=width), "targets")
+    n = goals.agg(F.max("all_slots")).first()[0] or 0
+    laid = blocks(sized, goals)
+    slots = schedule(goals, n)
     times = slots.groupBy("source", "block").agg(F.count(F.lit(1)).alias("times")).select(F.col("source").alias("of"), F.col("block").alias("at"), "times")
-    pieces = laid.where("size > 0").withColumn("block", F.explode(F.sequence(F.expr(f"start div {width}"), F.expr(f"(start + size - 1) div {width}"))))
-    pieces = pieces.withColumn("part", F.least(F.expr("start + size"), F.expr(f"(block + 1) * {width}")) - F.greatest("start", F.expr(f"block * {width}")))
+    pieces = laid.where("size > 0").withColumn("block", F.explode(F.expr("sequence(start div width, (start + size - 1) div width)")))
+    pieces = pieces.withColumn("part", F.expr("least(start + size, (block + 1) * width) - greatest(start, block * width)"))
     met = pieces.join(times, F.col("source").eqNullSafe(F.col("of")) & (F.col("block") == F.col("at")), "left")
     times = F.coalesce("times", F.lit(0))
     taken = met.groupBy("source", "bucket", "row", "id", "size").agg(
-        F.sum(F.col("part") * times).alias("taken"), F.max(F.when(F.col("block") == F.expr(f"start div {width}"), times)).alias("first")
+        F.sum(F.col("part") * times).alias("taken"), F.max(F.when(F.col("block") == F.expr("start div width"), times)).alias("first")
     )
     nothing = sized.where("size = 0").select("source", "id", "size", F.lit(0).cast("long").alias("taken"), F.lit(0).cast("long").alias("first"))
     rows = taken.select("source", "id", "size", "taken", "first").unionByName(nothing)

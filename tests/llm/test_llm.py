@@ -146,6 +146,23 @@ def test_mix(spark, odd, none):
     assert mixing.mixed(odd).columns == odd.columns
 
 
+def test_mix_of_huge_and_tiny_sources(spark):
+    """Blocks of 256 words beside sources of fewer: each source gets its target, by water-filling, and stays."""
+    small = {"s150": 150, "s60": 60, "s300": 300, "s260": 260, "s1": 1, None: 777}
+    docs = spark.range(260).select("id", F.expr("concat('big', id % 2)").alias("source"), F.lit(10_000).alias("n"))
+    tiny = [(1000 + 100 * i + k, s, (n + 9 - k) // 10) for i, (s, n) in enumerate(small.items()) for k in range(10)]
+    docs = docs.unionByName(spark.createDataFrame(tiny, "id long, source string, n int")).select(F.col("id").alias("doc_id"), "source", F.expr("repeat('w ', n)").alias("text"))
+    got = mixing.mix(docs)
+    rows = got["rows"].groupBy("source").agg(F.sum("size").alias("size"), F.sum("taken").alias("taken"), F.max("target").alias("target")).collect()
+    for r in rows:
+        assert abs(r.taken - r.target) <= max(0.01 * r.target, 2) and r.taken <= 3 * r.size
+        assert r.source not in small or r.target == 3 * r.size == 3 * small[r.source]
+    assert len(rows) == 8
+    slots = got["schedule"]
+    assert slots.count() == slots.select("slot").distinct().count()
+    assert mixing.mixed(docs).select("source").distinct().count() == 8
+
+
 def test_bpe_is_the_library(spark, odd, none):
     import tiktoken
 
