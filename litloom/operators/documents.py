@@ -126,6 +126,27 @@ def islands(df: DataFrame, key: str, order: str, starts: Column) -> DataFrame:
     return df.withColumn("island", F.sum(starts.cast("int")).over(Window.partitionBy(key).orderBy(order)))
 
 
+def merge_paragraphs(rows: DataFrame, key: str = "section", order: str = "ordinal") -> DataFrame:
+    """Key, first, start_page, end_page, text: a paragraph (page, text) goes on with the next of its section where that
+    stands on the next page and begins with a small letter, and it has no final stop. A hyphen at its end joins the words."""
+    line = Window.partitionBy(key).orderBy(order)
+    before = F.lag("text").over(line)
+    on = (F.col("page") == F.lag("page").over(line) + 1) & ~before.rlike("[.?!][\"']?\\s*$") & F.col("text").rlike("^[a-z]")
+    parts = islands(rows.withColumn("_start", ~F.coalesce(on, F.lit(False))), key, order, F.col("_start"))
+    parts = parts.groupBy(key, "island").agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), "page", "text"))).alias("parts"))
+    joined = F.aggregate("parts", F.lit(""), lambda text, x: F.when(text == "", x["text"]).when(F.endswith(text, F.lit("-")), F.concat(F.left(text, F.length(text) - 1), x["text"])).otherwise(F.concat(text, F.lit(" "), x["text"])))
+    return parts.select(key, F.col("parts")[0]["at"].alias("first"), F.col("parts")[0]["page"].alias("start_page"), F.element_at("parts", -1)["page"].alias("end_page"), joined.alias("text"))
+
+
+def section_parents(headers: DataFrame, key: str = "doc_id", order: str = "ordinal") -> DataFrame:
+    """Headers (id, level) with parent: of level 2 the last of level 1, of deeper ones the last of level 2 since the
+    last of level 1, else that one."""
+    line = Window.partitionBy(key).orderBy(order)
+    top = F.last(F.when(F.col("level") == 1, F.col("id")), ignorenulls=True).over(line)
+    near = F.last(F.when(F.col("level").isin(1, 2), F.col("id")), ignorenulls=True).over(line)
+    return headers.withColumn("parent", F.when(F.col("level") == 2, top).when(F.col("level") >= 3, near))
+
+
 def reading_order(blocks: DataFrame, middle: float, full: float) -> DataFrame:
     """Rank of blocks (page, block, x0, x1, y0): wide ones above, left, right column, wide ones below; two columns
     only if two blocks or more stand on either side."""

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, MapType, StringType
 
 from ..session import ship
 from .documents import sentences
@@ -20,6 +22,9 @@ STATEMENTS = [
     ("CLAIM", r"\b(we propose|we present|we show|we introduce)"),
 ]
 MIN_STATEMENT = 20
+# Of grounding: characters that evidence has at least, hedges that no RESULT has, confidence below which a person looks.
+MIN_EVIDENCE, DOUBTS, SURE = 3, ["may", "could", "might", "potentially", "hypothesize", "preliminary", "suggests"], 0.5
+TABLE_ROW = re.compile(r"(?:^|\s)(\d{1,2})\s+")
 
 
 def statement_kind(x: Column) -> Column:
@@ -76,7 +81,7 @@ def contained(spans: DataFrame, inside: DataFrame, key: str = "doc_id") -> DataF
 
 
 def grounding(text: Column, surface: Column, start: Column, end: Column, confidence: Column) -> Column:
-    """Verdict on an extracted span: where it stands is checked against the text, else realigned."""
+    """Verdict on an extracted span: where it stands is checked against the text, else realigned."""
     at = F.expr("0") if text is None else F.position(surface, text)
     return (
         F.when(text.isNull(), "CHUNK_MISSING").when(F.length(F.trim(surface)) < 2, "TOO_SHORT")
@@ -85,6 +90,75 @@ def grounding(text: Column, surface: Column, start: Column, end: Column, confide
     )
 
 
+def found_in(text: Column, evidence: Column) -> Column:
+    """Whether the text holds the evidence, case ignored where it must be."""
+    return F.contains(text, evidence) | F.contains(F.lower(text), F.lower(evidence))
+
+
+def statement_grounding(text: Column, paper: Column, evidence: Column, own_paper: Column, start: Column, end: Column, confidence: Column, category: Column) -> Column:
+    """P10: verdict on a statement's evidence in a chunk (text, paper; null where there is none). A RESULT that hedges is for review."""
+    said = F.trim(evidence)
+    length = F.coalesce(F.length(said), F.lit(0))
+    in_place = (start >= 0) & (end <= F.length(text)) & (start < end) & (F.substring(text, start + 1, end - start) == said)
+    doubt = (category == "RESULT") & F.concat(F.lit(" "), F.lower(said), F.lit(" ")).rlike(" (" + "|".join(DOUBTS) + ") ")
+    return (
+        F.when(text.isNull(), "CHUNK_MISSING").when(~own_paper.eqNullSafe(paper), "PAPER_MISMATCH").when(length < MIN_EVIDENCE, "TOO_SHORT")
+        .when(~F.coalesce(in_place, F.lit(False)) & ~found_in(text, said), "NOT_GROUNDED")
+        .when(F.coalesce(doubt, F.lit(False)) | F.coalesce(confidence < SURE, F.lit(False)), "NEEDS_REVIEW").otherwise("VALID")
+    )
+
+
+def relation_grounding(relations: DataFrame, known: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Relations (id, source, target, chunk, evidence, inferred) with verdict and audit (whether the system inferred
+    them, of those grounded). known: id of records; chunks: chunk, text. Both ends must be known before evidence is read."""
+    ids = known.select("id").distinct()
+    rows = relations
+    for end in ("source", "target"):
+        rows = rows.join(ids.select(F.col("id").alias(end), F.lit(True).alias(f"_{end}")), end, "left")
+    rows = rows.join(chunks.select("chunk", F.col("text").alias("_text")), "chunk", "left")
+    said = F.trim("evidence")
+    verdict = (
+        F.when(F.col("_source").isNull(), "SOURCE_UNKNOWN").when(F.col("_target").isNull(), "TARGET_UNKNOWN").when(F.col("_text").isNull(), "CHUNK_MISSING")
+        .when(F.coalesce(F.length(said), F.lit(0)) < MIN_EVIDENCE, "TOO_SHORT").when(~found_in(F.col("_text"), said), "NOT_GROUNDED").otherwise("VALID")
+    )
+    rows = rows.withColumn("verdict", verdict).withColumn("audit", (F.col("verdict") == "VALID") & F.coalesce("inferred", F.lit(False)))
+    return rows.select(*relations.columns, "verdict", "audit")
+
+
+def table_rows(text: str | None) -> dict[int, str]:
+    """what follows each row number of a table in running text; a number's last row counts; one number is no table."""
+    marks = list(TABLE_ROW.finditer(text or ""))
+    if len(marks) < 2:
+        return {}
+    ends = [m.start() for m in marks[1:]] + [len(text)]
+    return {int(m.group(1)): text[m.end() : end].strip() for m, end in zip(marks, ends)}
+
+
+def evidence_support(source: str, target: str, evidence: str | None) -> str:
+    """With a table of three rows or more that hold both terms, whether one row holds both (the first with a term
+    counts); else UNSUPPORTED where a term is missing, and NOT_ASSESSED."""
+    if not evidence or not evidence.strip():
+        return "UNSUPPORTED"
+    rows = table_rows(evidence)
+    if len(rows) >= 3:
+        a, b = (next((n for n, row in rows.items() if term.lower().strip() in row.lower()), None) for term in (source, target))
+        if a is not None and b is not None:
+            return "SUPPORTED" if a == b else "UNSUPPORTED"
+    return "NOT_ASSESSED" if source.lower() in evidence.lower() and target.lower() in evidence.lower() else "UNSUPPORTED"
+
+
+@F.pandas_udf(MapType(IntegerType(), StringType()))
+def table_map(text: pd.Series) -> pd.Series:
+    """F30 as a column; as with every Python function here, session.ship first."""
+    return text.map(table_rows)
+
+
+@F.pandas_udf(StringType())
+def support(source: pd.Series, target: pd.Series, evidence: pd.Series) -> pd.Series:
+    """P12 as a column."""
+    return pd.Series([evidence_support(a or "", b or "", e) for a, b, e in zip(source, target, evidence)])
+
+
 def relaxed_matches(predicted: list[str], actual: list[str], least: float = 0.5) -> list[tuple[int, int]]:
     """Greedy one-to-one pairs: one holds the other, or their words' Jaccard similarity is least or more."""
     used, out = set(), []
@@ -98,4 +172,4 @@ def relaxed_matches(predicted: list[str], actual: list[str], least: float = 0.5)
     return out
 
 
-__all__ = ["contained", "entities", "grounding", "lexicon_spans", "relaxed_matches", "sentences", "statement_kind", "statements"]
+__all__ = ["contained", "entities", "evidence_support", "grounding", "lexicon_spans", "relation_grounding", "relaxed_matches", "sentences", "statement_grounding", "statement_kind", "statements", "support", "table_map", "table_rows"]

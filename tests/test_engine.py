@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from litloom.functions import text as T
 from litloom.operators import documents, extraction, graphs, knowledge, linkage, metrics
 from litloom.plans import all_plans, catalog  # noqa: F401
+from litloom.session import ship
 from litloom.sources import readers, sinks
 from litloom.storage import cut
 from litloom.streaming import ingest
@@ -110,3 +111,46 @@ def test_streaming(spark, tmp_path):
     run = ingest.once(stream, ["event_id"]).writeStream.format("memory").queryName("seen").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     run.awaitTermination(60)
     assert spark.table("seen").count() == 2
+
+
+def test_table_rows_and_support(spark):
+    table = "Method 1 Deep Net uses Images 2 Tree uses Tables 3 Rule uses Text"
+    cases = [
+        ("deep net", "images", table, "SUPPORTED"), ("deep net", "tables", table, "UNSUPPORTED"), ("Deep", "Method", table, "NOT_ASSESSED"), ("deep net", "sound", table, "UNSUPPORTED"),
+        ("a", "b", "a with b", "NOT_ASSESSED"), ("a", "z", "a with b", "UNSUPPORTED"), ("a", "b", "  ", "UNSUPPORTED"), ("a", "b", None, "UNSUPPORTED"), ("x", "y", "1 x 2 y", "NOT_ASSESSED"), ("new", "c", "1 old 2 b 3 c 1 new", "UNSUPPORTED"),
+    ]
+    ship(spark)
+    frame = spark.createDataFrame([(i, *case) for i, case in enumerate(cases)], "id int, a string, b string, e string, want string")
+    rows = frame.select("id", "want", extraction.table_map("e").alias("rows"), extraction.support("a", "b", "e").alias("got")).orderBy("id").collect()
+    assert [r.got for r in rows] == [r.want for r in rows]
+    assert rows[0].rows == {1: "Deep Net uses Images", 2: "Tree uses Tables", 3: "Rule uses Text"}
+    assert rows[4].rows == {} and rows[9].rows == {1: "new", 2: "b", 3: "c"}
+
+
+def test_grounding_of_statements_and_relations(spark):
+    text = "It may help. We see Gains here."
+    cases = [
+        (None, "p", "It may", "p", 0, 6, 0.9, "RESULT", "CHUNK_MISSING"), (text, "q", "It may", "p", 0, 6, 0.9, "CLAIM", "PAPER_MISMATCH"), (text, "p", " a ", "p", 0, 1, 0.9, "CLAIM", "TOO_SHORT"),
+        (text, "p", "It may help", "p", 0, 11, 0.9, "RESULT", "NEEDS_REVIEW"), (text, "p", "It may help", "p", 0, 11, 0.9, "CLAIM", "VALID"), (text, "p", "we see gains", "p", -4, 99, 0.9, "RESULT", "VALID"),
+        (text, "p", "We see", "p", 0, 6, 0.4, "RESULT", "NEEDS_REVIEW"), (text, "p", "not there", "p", 0, 9, 0.9, "RESULT", "NOT_GROUNDED"),
+    ]
+    frame = spark.createDataFrame([(i, *case) for i, case in enumerate(cases)], "id int, t string, p string, e string, o string, a int, b int, c double, k string, want string")
+    verdict = extraction.statement_grounding(*map(F.col, "tpeoabck"))
+    rows = frame.select("want", verdict.alias("got")).collect()
+    assert [r.got for r in rows] == [r.want for r in rows]
+    links = [(1, "a", "b", "c1", "Gains", True, "VALID", True), (2, "a", "b", "c1", "gains", False, "VALID", False), (3, "x", "b", "c1", "Gains", True, "SOURCE_UNKNOWN", False), (4, "a", "x", "c1", "Gains", None, "TARGET_UNKNOWN", False),
+             (5, "a", "b", "c2", "Gains", True, "CHUNK_MISSING", False), (6, "a", "b", "c1", "G", True, "TOO_SHORT", False), (7, "a", "b", "c1", "losses", True, "NOT_GROUNDED", False)]
+    frame = spark.createDataFrame(links, "id int, source string, target string, chunk string, evidence string, inferred boolean, want string, flag boolean")
+    known, chunks = spark.createDataFrame([("a",), ("b",), ("a",)], "id string"), spark.createDataFrame([("c1", text)], "chunk string, text string")
+    rows = extraction.relation_grounding(frame, known, chunks).collect()
+    assert len(rows) == len(links) and all((r.verdict, r.audit) == (r.want, r.flag) for r in rows)
+
+
+def test_paragraphs_over_pages_and_parents(spark):
+    rows = [("s", 0, 1, "It goes"), ("s", 1, 2, "on with hy-"), ("s", 2, 3, "phens and"), ("s", 3, 3, "same page"), ("s", 4, 4, "Capital"), ("s", 5, 5, 'said "so."'), ("s", 6, 6, "small after a stop"), ("s", 7, 8, "a page between"), ("t", 8, 9, "other section")]
+    got = documents.merge_paragraphs(spark.createDataFrame(rows, "section string, ordinal int, page int, text string"), "section").collect()
+    want = [("s", 0, 1, 3, "It goes on with hyphens and"), ("s", 3, 3, 3, "same page"), ("s", 4, 4, 5, 'Capital said "so."'), ("s", 6, 6, 6, "small after a stop"), ("s", 7, 8, 8, "a page between"), ("t", 8, 9, 9, "other section")]
+    assert sorted(map(tuple, got)) == want
+    levels = [3, 2, 3, 1, 3, 2, 3, 4, 1, 3, None]
+    headers = spark.createDataFrame([("d", i, i, n) for i, n in enumerate(levels)], "doc_id string, ordinal int, id int, level int")
+    assert [r.parent for r in documents.section_parents(headers).orderBy("id").collect()] == [None, None, 1, None, 3, 3, 5, 5, None, 8, None]
