@@ -1,11 +1,14 @@
 """Negative knowledge, gap dossiers, transfers between fields, hypotheses, their review and experiments.
 
 Batches of questions (gaps, methods, candidates) are small beside the corpus: ask() checks that and only then broadcasts
-them, since substring conditions leave no key to join by. Larger batches are to be split by the caller.
+them, since substring conditions leave no key to join by. Larger batches are to be split by the caller, but gaps, which
+verify_gaps takes in blocks of about MOST_ASKED.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +36,15 @@ def ask(df: DataFrame) -> DataFrame:
     return F.broadcast(df)
 
 
+def asked_blocks(df: DataFrame) -> list[DataFrame]:
+    """df in parts by hash, of about MOST_ASKED rows at most, each to be broadcast: one part where df has no more."""
+    n = -(-df.count() // MOST_ASKED)
+    if n <= 1:
+        return [F.broadcast(df)]
+    place = F.pmod(F.xxhash64(*df.columns), F.lit(n))
+    return [F.broadcast(df.where(place == k)) for k in range(n)]
+
+
 def any_in(text: Column, phrases: list[str]) -> Column:
     return F.exists(F.array(*map(F.lit, phrases)), lambda p: F.contains(F.lower(text), p))
 
@@ -70,15 +82,16 @@ def contradiction_risk(found: DataFrame, task: Column) -> DataFrame:
 
 
 def verify_gaps(gaps: DataFrame, hits: DataFrame, docs: DataFrame, statements: DataFrame, titles: DataFrame, solved: list[str] = SOLVED, still: list[str] = OPEN, negative: list[str] = NEGATIVE, threshold: float = PRECEDENT_SCORE) -> tuple[DataFrame, DataFrame]:
-    """(dossiers, findings). gaps: gid, text (MOST_ASKED at most); hits: gid, id, score of the retrievers' lists, an id
+    """(dossiers, findings). gaps: gid, text, any number; hits: gid, id, score of the retrievers' lists, an id
     once a gap; docs: id, text, paper; statements: id, text, paper, category; titles: paper, title."""
     asked = gaps.select("gid", T.tokens(F.col("text")).alias("_t"))
     n_in = lambda tokens, text: F.size(F.filter(tokens, lambda t: F.contains(F.lower(text), t)))
-    read = hits.select("gid", "id", "score").join(docs.select("id", "text", "paper"), "id").join(ask(asked), "gid")
+    read = hits.select("gid", "id", "score").join(docs.select("id", "text", "paper"), "id").join(asked, "gid")
     precedent = (n_in(F.slice("_t", 1, 3), F.col("text")) >= 2) & any_in(F.col("text"), solved) & (F.col("score") > threshold)
     relation = F.when(precedent, "DIRECT_PRECEDENT").when(any_in(F.col("text"), still), "SUPPORTING_EVIDENCE")
     found = read.select("gid", F.concat(F.lit("hit_"), "id").alias("ref"), "paper", "text", F.col("score").cast("double").alias("score"), relation.alias("relation"))
-    near = statements.where(F.col("category").isin("LIMITATION", "FAILURE_MODE", "RESULT")).join(ask(asked), n_in(F.col("_t"), F.col("text")) >= 2)
+    told = statements.where(F.col("category").isin("LIMITATION", "FAILURE_MODE", "RESULT"))
+    near = functools.reduce(DataFrame.unionByName, [told.join(part, n_in(F.col("_t"), F.col("text")) >= 2) for part in asked_blocks(asked)])
     stated = F.col("category") != "RESULT"
     relation = F.when(stated, "SUPPORTING_EVIDENCE").when(any_in(F.col("text"), negative), "CONTRADICTORY_FINDING")
     found = found.unionByName(near.select("gid", F.concat(F.lit("stmt_"), "id").alias("ref"), "paper", "text", F.when(stated, STATED_SCORE).otherwise(CONTRARY_SCORE).alias("score"), relation.alias("relation")))

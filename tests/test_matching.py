@@ -66,6 +66,18 @@ def test_batches_are_checked(spark):
     assert sorted(r.method for r in found.collect()) == ["big graph net", "graph"]
 
 
+def test_any_number_of_gaps(spark):
+    gaps = [(i, f"alpha{i % 7} beta{i % 5}") for i in range(2 * dossiers.MOST_ASKED + 300)]
+    said = [(1, "Alpha1 with beta1", "p", "LIMITATION"), (2, "alpha2 and beta3 failed", "p", "RESULT"), (3, "alpha1 beta1", "p", "CLAIM")]
+    docs = spark.createDataFrame([(1, "we propose alpha3 beta3", "q")], "id int, text string, paper string")
+    hits = spark.createDataFrame([(i, 1, 0.9) for i, _ in gaps], "gid int, id int, score double")
+    statements = spark.createDataFrame(said, "id int, text string, paper string, category string")
+    titles = spark.createDataFrame([("p", "One")], "paper string, title string")
+    out, _ = dossiers.verify_gaps(spark.createDataFrame(gaps, "gid int, text string"), hits, docs, statements, titles)
+    want = {(i, int(i % 7 == 3 == i % 5), int(i % 7 == 2 and i % 5 == 3), int(i % 7 == 1 == i % 5), 1) for i, _ in gaps}
+    assert {(r.gid, r.precedents, r.contradictions, r.supporting, r.hits) for r in out.collect()} == want and out.count() == len(gaps)
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "id long, kind string, src long, dst long, predicate string")
     row = audits.graph_report(none.select("id", "kind"), none.select("src", "dst", "predicate")).first()
