@@ -137,13 +137,13 @@ def band_keys(sample: np.ndarray) -> np.ndarray:
 def _sketch(idf):
     draws = fields()
 
-    def step(keys, texts):
+    def step(keys, places, texts):
         classes, bands = [], []
         for t in texts:
             values, counts, key = shingles(t)
             classes.append(key or None)
             bands.append(band_keys(samples(values, counts * idf.value[slots(values)], draws)).tolist() if key else [])
-        return keys, classes, bands
+        return keys, places, classes, bands
 
     return step
 
@@ -164,7 +164,9 @@ def _verify(idf, threshold):
             if len(memo) > 64:
                 memo.clear()
             values, counts, own = shingles(text)
-            memo[key] = (values, counts * idf.value[slots(values)]) if own == key else None
+            if own != key:
+                return None
+            memo[key] = values, counts * idf.value[slots(values)]
         return memo[key]
 
     def step(a, b, of_a, of_b):
@@ -215,19 +217,28 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, text: str = "text", id: str = "doc_id") -> DataFrame:
     """id, rep_id (least id with the same words), class_id (least id of the group), n_links (links of its class to other
     classes), kept (the row that stays of its group); a row for each row of docs."""
+    out = _grouped(docs, threshold, text, id)
+    return out.select(F.col("id").alias(id), "rep_id", "class_id", "n_links", "kept")
+
+
+def _grouped(docs: DataFrame, threshold: float, text: str, id: str) -> DataFrame:
+    """near_duplicates with place, the hash of the row's text: id and place name a row where ids repeat or are null."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
+    rows = docs.select(F.col(id).alias("id"), F.xxhash64(F.col(text)).alias("place"), F.col(text).alias("text"))
     idf = spark.sparkContext.broadcast(idf_table(document_frequencies(rows.select("text"))))
     kind = docs.schema[id].dataType.simpleString()
-    sketch = settle(map_columns(rows, f"id {kind}, class long, bands array<long>", _sketch, idf), "sketch")
+    sketch = settle(map_columns(rows, f"id {kind}, place long, class long, bands array<long>", _sketch, idf), "sketch")
     worded = sketch.where("class is not null")
-    classes = worded.groupBy("class").agg(F.min("id").alias("rep"))
+    first = F.struct(F.col("id").isNull().alias("none"), "id", "place")  # one text, whatever ids repeat
+    classes = worded.groupBy("class").agg(F.min(first).alias("rep"))
     # Equal bands of equal classes: any copy's will do; the exploded rows are made distinct before they are dealt out.
     keyed = worded.select("class", F.posexplode("bands").alias("band", "bucket")).distinct()
     busy = keyed.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     members = settle(keyed.join(busy, ["band", "bucket"]), "buckets")
     least = members.select("class").distinct().join(classes, "class")
-    texts = settle(least.join(rows, F.col("rep").eqNullSafe(F.col("id")), "inner").select("class", "text"), "texts")
+    least = least.select("class", F.col("rep.id").alias("of"), F.col("rep.place").alias("at"))
+    same = F.col("of").eqNullSafe(F.col("id")) & (F.col("at") == F.col("place"))
+    texts = settle(least.join(rows, same, "inner").select("class", "text"), "texts")
     schema = "a long, b long"
     links, comps = None, None
 
@@ -293,18 +304,22 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, text: str = "
     else:
         of = classes.withColumn("comp", F.lit(None).cast("long")).withColumn("n_links", F.lit(None).cast("long"))
     of = settle(of.select("class", "rep", F.coalesce("comp", "class").alias("comp"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "classes")
-    stays = of.groupBy("comp").agg(F.min("rep").alias("class_id"))
-    of = of.join(stays, "comp").select("class", F.col("rep").alias("rep_id"), "class_id", "n_links")
-    out = sketch.select("id", "class").join(of, "class", "left")
+    stays = of.groupBy("comp").agg(F.min("rep").alias("stays"))
+    of = of.join(stays, "comp").select("class", F.col("rep.id").alias("rep_id"), F.col("stays.id").alias("class_id"), F.col("stays.place").alias("stays"), "n_links")
+    out = sketch.select("id", "place", "class").join(of, "class", "left")
     alone = F.col("class").isNull()
     return out.select(
-        F.col("id").alias(id), F.when(alone, F.col("id")).otherwise(F.col("rep_id")).alias("rep_id"), F.when(alone, F.col("id")).otherwise(F.col("class_id")).alias("class_id"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), (alone | F.col("id").eqNullSafe(F.col("class_id"))).alias("kept"),
+        "id", "place", F.when(alone, F.col("id")).otherwise(F.col("rep_id")).alias("rep_id"), F.when(alone, F.col("id")).otherwise(F.col("class_id")).alias("class_id"),
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), (alone | (F.col("id").eqNullSafe(F.col("class_id")) & (F.col("place") == F.col("stays")))).alias("kept"),
     )
 
 
 def keep_one(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
-    """The rows of docs that stay, with docs' own columns: one of each group."""
-    stays = near_duplicates(docs, text=text, id=id).where("kept").select(F.col(id).alias("__keep")).distinct()
-    full = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(id).alias("__id"))
-    return full.join(stays, F.col("__id").eqNullSafe(F.col("__keep")), "left_semi").select("__row.*")
+    """The rows of docs that stay, with docs' own columns: one of each group. Of rows that repeat id and text the first in
+    the order of their columns stays, but wordless ones all stay."""
+    stays = _grouped(docs, THRESHOLD, text, id).where("kept").select(F.col("id").alias("__keep"), F.col("place").alias("__at")).distinct()
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
+    full = docs.select(row, F.col(id).alias("__id"), F.xxhash64(F.col(text)).alias("__place"), F.coalesce(F.col(text).rlike("[^\\x20\\x09-\\x0D]"), F.lit(False)).alias("__worded"))
+    met = full.join(stays, F.col("__id").eqNullSafe(F.col("__keep")) & (F.col("__place") == F.col("__at")), "left_semi")
+    once = met.where("__worded").groupBy("__id", "__place").agg(F.min("__row").alias("__row"))
+    return once.select("__row.*").unionByName(met.where("NOT __worded").select("__row.*"))

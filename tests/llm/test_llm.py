@@ -118,6 +118,20 @@ def test_quality(spark, odd, none):
     assert quality.keep_good(odd).columns == odd.columns and [r.doc_id for r in quality.keep_good(odd).collect()] == [6]
 
 
+def test_near_duplicates_with_repeated_and_null_ids(spark):
+    """Ids that several texts share, and null ones: each group keeps one row, and no link is lost to a wrong text."""
+    draw = np.random.default_rng(7)
+    rows = []
+    for i in range(12):
+        words = [f"w{draw.integers(10_000)}" for _ in range(120)]
+        rows += [(None if i % 2 else 5, " ".join(words)), (5 if i % 3 else None, " ".join([*words[:-1], "other"]))]
+    rows.append(rows[0])
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = Counter(" ".join(r.text.split()[:9]) for r in neardup.keep_one(docs).collect())
+    assert len(kept) == 12 and set(kept.values()) == {1}
+    assert neardup.near_duplicates(docs).where("n_links = 0").count() == 0
+
+
 def test_mix(spark, odd, none):
     rows = queries.op5_source_mix(spark, SF).collect()
     assert sum(r.size for r in rows) == pytest.approx(sum({r.target: 0 for r in rows}) or sum(r.size for r in rows), rel=10)
