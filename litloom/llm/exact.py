@@ -44,7 +44,16 @@ class DigestIndex:
         self.path = path or scratch(spark, self.name)
 
     def exists(self) -> bool:
-        return self.spark.catalog.tableExists(self.name)
+        """Whether the index has files; a catalog that doesn't know them (in memory, of a later application) gets the table anew."""
+        if self.spark.catalog.tableExists(self.name):
+            return True
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        system = path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
+        if not system.exists(path) or not any(f.getPath().getName().endswith(".parquet") for f in system.listStatus(path)):
+            return False
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in self.spark.read.parquet(self.path).schema)
+        self.spark.sql(f"CREATE TABLE {self.name} ({columns}) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{self.path}'")
+        return True
 
     def _append(self, rows: DataFrame) -> None:
         rows.write.mode("append").bucketBy(self.buckets, "digest").sortBy("digest").option("path", self.path).saveAsTable(self.name)

@@ -257,6 +257,17 @@ def test_importance(spark, odd, none):
     assert importance.resample(odd, labelled).count() == odd.count() and importance.resample(none, labelled).count() == 0
 
 
+def test_exact_index_outlives_the_catalog(spark):
+    """An application whose catalog is empty finds the index by its files."""
+    first = exact.DigestIndex(spark)
+    exact.dedup(spark.createDataFrame([(1, "one"), (2, "two")], "doc_id long, text string"), first).collect()
+    spark.sql(f"DROP TABLE {first.name}")
+    later = exact.DigestIndex(spark, first.name, first.path)
+    got = exact.dedup(spark.createDataFrame([(3, "two"), (4, "three")], "doc_id long, text string"), later).collect()
+    assert {r.doc_id: r.kept for r in got} == {3: False, 4: True}
+    assert later.rows().count() == 3 and spark.table(later.name).count() == 3
+
+
 def test_exact(spark, odd, none):
     rows = spark.createDataFrame([(1, "a b"), (2, "ab "), (3, " a b "), (5, "x"), (4, "x"), (4, "x"), (None, None), (7, "")], "doc_id long, text string")
     index = exact.DigestIndex(spark)
