@@ -2,13 +2,17 @@
 
 A batch's distinct pre-tokens are the words of a query. One recursive step unnests them to token-position rows, joins
 neighbouring tokens to the merge table and contracts each word's leftmost pair of least rank; a word leaves when no
-pair of it is in the table. Words are encoded once a worker (a bounded memo) and put back per document. Decoding joins ids to the vocabulary and
-concatenates the bytes by ordered aggregation.
+pair of it is in the table. The ids that are left join the vocabulary, and an ordered aggregation concatenates their
+bytes: encoded and decoded in one query. Words are asked for once a worker (a memo bounded by bytes) and put back per
+document.
 
-A recursive query emits every step of a word, rows in the square of its length. Words of more than LONG bytes (runs of
-letters without a break) therefore follow the same rule with a heap; nothing is cut.
+A recursive query emits every step of a word, rows in the square of its length; so a query takes words up to SQUARES in
+the sum of their squared lengths, and words of more than LONG bytes (runs of letters without a break) follow the same
+rule with a heap. Nothing is cut.
 
-null texts count as empty: no ids, the hash of the empty string. Repeated rows give repeated results.
+Defined results: null texts count as empty: no ids, the hash of the empty string; repeated rows and repeated or null ids
+give a row each; very long texts are read whole, their words in turns of TURN, and their hashes grow turn by turn; an
+empty table gives no rows; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -16,26 +20,25 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-import re
+from collections.abc import Iterator
+from itertools import chain, islice
 
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from .common import map_columns
+from .common import Memo, map_columns
 
 LONG = 128
-#: Pieces and words that a worker remembers, twice this many with the generation before.
-MEMO_PIECES, MEMO_WORDS = 200_000, 400_000
-WORDS_A_QUERY = 20_000
-IDS_A_QUERY = 2_000_000
-WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Every boundary of these pieces is a boundary of the pre-token pattern too: no pre-token holds white space after
-#: its first character unless all of it is white space. So is a lone blank between two other characters.
-PIECES = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
-UNEVEN = re.compile(f"^ | $|[{WHITE}] | [{WHITE}]")
+#: Squared bytes of the words of one query, which bound its rows.
+SQUARES = 4 << 20
+#: Bytes that a worker's memo holds in one of its two generations, as Python counts them about.
+MEMO_BYTES = 56 << 20
+#: Characters of texts that are cut into words at once, and words of one longer text.
+SLICE, TURN = 2 << 20, 1 << 18
 
 MERGE = """
 WITH RECURSIVE run AS (
@@ -47,8 +50,13 @@ WITH RECURSIVE run AS (
     FROM (SELECT w, unnest(ids[:-2]) * 4294967296 + unnest(ids[2:]) AS pair, generate_subscripts(ids[2:], 1) AS p FROM run)
     JOIN merges m USING (pair) GROUP BY w
   ) b ON s.w = b.w
+),
+done AS (SELECT w, arg_max(ids, step) AS ids FROM run GROUP BY w),
+bytes AS (
+  SELECT w, unhex(string_agg(v.hex, '' ORDER BY p)) AS raw
+  FROM (SELECT w, unnest(ids) AS id, generate_subscripts(ids, 1) AS p FROM done) JOIN vocabulary v USING (id) GROUP BY w
 )
-SELECT w, arg_max(ids, step) AS ids FROM run GROUP BY w
+SELECT w, array_to_string(ids, ',') AS ids, raw FROM done JOIN bytes USING (w)
 """
 
 DECODE = """
@@ -56,6 +64,7 @@ SELECT d, string_agg(v.hex, '' ORDER BY p) AS hex
 FROM (SELECT d, unnest(ids) AS id, generate_subscripts(ids, 1) AS p FROM docs)
 JOIN vocabulary v USING (id) GROUP BY d
 """
+IDS_A_QUERY = 1_000_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -63,34 +72,18 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
-class Memo:
-    """A dictionary of bounded size. When it is full, what has not been asked for since the last time is forgotten."""
-
-    def __init__(self, most: int):
-        self.most, self.young, self.old = most, {}, {}
-
-    def fill(self, keys: set, make) -> None:
-        """Afterwards young has all the keys."""
-        new = keys - self.young.keys()
-        if len(self.young) + len(new) > self.most:
-            self.old, self.young, new = self.young, {}, keys
-        again = new & self.old.keys()
-        self.young.update((k, self.old[k]) for k in again)
-        self.young.update(make(list(new - again)))
-
-
 class Codec:
     """Encoder and decoder of one worker for a tiktoken rank file and a pre-token pattern."""
 
     def __init__(self, path: str, pattern: str):
         self.ranks, self.pattern = read_ranks(path), regex.compile(pattern)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
         rows = [(self.ranks[k[:i]], self.ranks[k[i:]], id) for k, id in self.ranks.items() for i in range(1, len(k)) if k[:i] in self.ranks and k[i:] in self.ranks]
         pair, made = pa.array([(l << 32) + r for l, r, _ in rows], pa.int64()), pa.array([id for *_, id in rows], pa.int64())
         self._load("merges", {"pair": pair, "id": made})
         self._load("vocabulary", {"id": pa.array(list(self.ranks.values()), pa.int64()), "hex": pa.array([k.hex() for k in self.ranks], pa.string())})
         self.single = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
-        self.of_piece, self.of_word = Memo(MEMO_PIECES), Memo(MEMO_WORDS)
+        self.of_word = Memo(MEMO_BYTES, lambda word: 220 + 4 * len(word))
 
     def _load(self, name: str, columns: dict) -> None:
         self.db.register("incoming", pa.table(columns))
@@ -125,56 +118,66 @@ class Codec:
                     heapq.heappush(heap, (r, k))
         return [self.ranks[p] for p in part if p is not None]
 
-    def words(self, words: list[str]) -> dict[str, list[int]]:
-        """Ids of distinct pre-tokens."""
-        out, rest = {}, []
+    def words(self, words: list[str]) -> dict[str, str | tuple[str, bytes]]:
+        """Of distinct pre-tokens the ids joined by commas, and beside them the decoded bytes where they aren't the word's own."""
+        out, part, squares = {}, [], 0
         for word in words:
-            raw = word.encode("utf-8", "surrogatepass")
+            raw = word.encode()
             if (id := self.ranks.get(raw)) is not None:
-                out[word] = [id]
+                out[word] = str(id)
             elif len(raw) > LONG:
-                out[word] = self._long(raw)
+                ids = self._long(raw)
+                text, back = ",".join(map(str, ids)), self.decode([ids])[0]
+                out[word] = text if back == raw else (text, back)
             else:
-                rest.append((word, raw))
-        for at in range(0, len(rest), WORDS_A_QUERY):
-            part = rest[at : at + WORDS_A_QUERY]
-            ends = np.cumsum([0, *(len(raw) for _, raw in part)], dtype=np.int32)
-            flat = self.single[np.frombuffer(b"".join(raw for _, raw in part), np.uint8)]
-            got = self._query(MERGE, "words", {"w": pa.array(range(len(part)), pa.int64()), "ids": pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))})
-            for k, ids in zip(got["w"].to_pylist(), got["ids"].to_pylist()):
-                out[part[k][0]] = ids
+                if squares + len(raw) ** 2 > SQUARES:
+                    self._merge(part, out)
+                    part, squares = [], 0
+                part.append((word, raw))
+                squares += len(raw) ** 2
+        if part:
+            self._merge(part, out)
         return out
 
-    def pieces(self, texts: list[str | None]) -> list[list[tuple]]:
-        """For each text, its pieces in order as (number of ids, ids joined by commas, decoded bytes)."""
-        split = []
-        for t in texts:
-            if not t:
-                split.append([])
-            elif UNEVEN.search(t):
-                split.append([(p,) for p in PIECES.findall(t)])
+    def _merge(self, part: list[tuple[str, bytes]], out: dict) -> None:
+        ends = np.cumsum([0, *(len(raw) for _, raw in part)], dtype=np.int32)
+        flat = self.single[np.frombuffer(b"".join(raw for _, raw in part), np.uint8)]
+        got = self._query(MERGE, "words", {"w": pa.array(range(len(part)), pa.int64()), "ids": pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))})
+        for k, ids, back in zip(*(got[c].to_pylist() for c in ("w", "ids", "raw"))):
+            word, raw = part[k]
+            out[word] = ids if back == raw else (ids, back)
+
+    def joined(self, cut: list[list[str]]) -> tuple[list[int], list[str], list[bytes]]:
+        """Of each list of words: the number of ids, the ids joined by commas, the decoded bytes."""
+        offsets = np.cumsum([0, *map(len, cut)], dtype=np.int32)
+        if not offsets[-1]:
+            return [0] * len(cut), [""] * len(cut), [b""] * len(cut)
+        flat = pa.array(chain.from_iterable(cut), pa.string()).dictionary_encode()
+        words = flat.dictionary.to_pylist()
+        self.of_word.fill(set(words), self.words)
+        entries = [self.of_word.young[w] for w in words]
+        ids = pa.array([e if isinstance(e, str) else e[0] for e in entries], pa.string())
+        raw = flat.dictionary.cast(pa.binary())
+        if any(isinstance(e, tuple) for e in entries):
+            raw = pa.array([w if isinstance(e, str) else e[1] for e, w in zip(entries, raw.to_pylist())], pa.binary())
+        sizes = pc.count_substring(ids, ",").to_numpy() + 1
+        sums = np.append(0, np.cumsum(sizes[flat.indices.to_numpy()], dtype=np.int64))[offsets]
+        texts = pc.binary_join(pa.ListArray.from_arrays(offsets, ids.take(flat.indices)), ",")
+        back = pc.binary_join(pa.ListArray.from_arrays(offsets, raw.take(flat.indices)), b"")
+        return np.diff(sums).tolist(), texts.to_pylist(), back.to_pylist()
+
+    def each(self, texts: list[str | None]) -> Iterator[Iterator[tuple[int, str, bytes]]]:
+        """Of each text (number of ids, ids joined by commas, decoded bytes), for a long one TURN words at once."""
+        for a, b in slices(texts):
+            if b == a + 1 and len(texts[a] or "") > SLICE:
+                found = (m[0] for m in self.pattern.finditer(texts[a]))
+                yield (tuple(x[0] for x in self.joined([own])) for own in iter(lambda: list(islice(found, TURN)), []))
             else:
-                first, *rest = t.split(" ")  # a str key stands for the piece with its blank, a tuple for the piece itself
-                split.append([(first,), *rest])
-        self.of_piece.fill({p for own in split for p in own}, self._pieces)
-        memo = self.of_piece.young
-        return [[memo[p] for p in own] for own in split]
-
-    def _pieces(self, new: list) -> dict:
-        cut = {p: self.pattern.findall(p[0] if isinstance(p, tuple) else " " + p) for p in new}
-        self.of_word.fill({w for own in cut.values() for w in own}, self._words)
-        memo, out = self.of_word.young, {}
-        for p, own in cut.items():
-            n, ids, raw = zip(*(memo[w] for w in own))
-            out[p] = memo[own[0]] if len(own) == 1 else (sum(n), ",".join(ids), b"".join(raw))
-        return out
-
-    def _words(self, new: list[str]) -> dict:
-        ids = self.words(new)
-        return {w: (len(own), ",".join(map(str, own)), raw) for (w, own), raw in zip(ids.items(), self.decode(list(ids.values())))}
+                cut = [self.pattern.findall(t) if t else [] for t in texts[a:b]]
+                yield from ([own] for own in zip(*self.joined(cut)))
 
     def encode(self, texts: list[str | None]) -> list[list[int]]:
-        return [[int(i) for _, ids, _ in own for i in ids.split(",")] for own in self.pieces(texts)]
+        return [[int(i) for n, ids, _ in turns if n for i in ids.split(",")] for turns in self.each(texts)]
 
     def decode(self, docs: list[list[int]]) -> list[bytes]:
         out, at = [b""] * len(docs), 0
@@ -183,9 +186,13 @@ class Codec:
             while end < len(docs) and (end == at or total + len(docs[end]) <= IDS_A_QUERY):
                 total += len(docs[end])
                 end += 1
-            got = self._query(DECODE, "docs", {"d": pa.array(range(at, end), pa.int64()), "ids": pa.array(docs[at:end], pa.list_(pa.int64()))})
-            for d, raw in zip(got["d"].to_pylist(), got["hex"].to_pylist()):
-                out[d] = bytes.fromhex(raw)
+            if total > IDS_A_QUERY:  # one document: its runs of ids in turn
+                ids = docs[at]
+                out[at] = b"".join(self.decode([ids[i : i + IDS_A_QUERY] for i in range(0, len(ids), IDS_A_QUERY)]))
+            else:
+                got = self._query(DECODE, "docs", {"d": pa.array(range(at, end), pa.int64()), "ids": pa.array(docs[at:end], pa.list_(pa.int64()))})
+                for d, raw in zip(got["d"].to_pylist(), got["hex"].to_pylist()):
+                    out[d] = bytes.fromhex(raw)
             at = end
         return out
 
@@ -200,7 +207,7 @@ def codec(path: str, pattern: str) -> Codec:
     return _codecs[path, pattern]
 
 
-def _slices(texts: list, most: int = 4 << 20):
+def slices(texts: list, most: int = SLICE) -> Iterator[tuple[int, int]]:
     """Runs of texts of about most characters, one text at least."""
     at = 0
     while at < len(texts):
@@ -217,8 +224,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", id: str
 
     def make():
         def step(keys, texts):
-            own = codec(path, pattern)
-            return keys, [ids for a, b in _slices(texts) for ids in own.encode(texts[a:b])]
+            return keys, codec(path, pattern).encode(texts)
 
         return step
 
@@ -245,13 +251,16 @@ def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text", id:
 
     def make():
         def step(keys, texts):
-            own, counts, of_ids, of_bytes = codec(path, pattern), [], [], []
-            for a, b in _slices(texts):
-                for pieces in own.pieces(texts[a:b]):
-                    n, ids, raw = zip(*pieces) if pieces else ((), (), ())
-                    counts.append(sum(n))
-                    of_ids.append(hashlib.sha256(",".join(ids).encode()).hexdigest())
-                    of_bytes.append(hashlib.sha256(b"".join(raw)).hexdigest())
+            counts, of_ids, of_bytes = [], [], []
+            for turns in codec(path, pattern).each(texts):
+                total, ids, raw = 0, hashlib.sha256(), hashlib.sha256()
+                for n, text, back in turns:
+                    ids.update(("," if total and n else "").encode() + text.encode())
+                    raw.update(back)
+                    total += n
+                counts.append(total)
+                of_ids.append(ids.hexdigest())
+                of_bytes.append(raw.hexdigest())
             return keys, counts, of_ids, of_bytes
 
         return step

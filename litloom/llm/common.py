@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 
 import pyarrow as pa
@@ -14,6 +15,9 @@ from ..session import ship
 
 #: The characters of [\x20\x09-\x0D].
 BLANKS = " \t\n\x0b\x0c\r"
+#: Bytes of an Arrow batch that are turned into Python objects at once.
+SLICE_BYTES = 8 << 20
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,23 +45,78 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def map_columns(df: DataFrame, schema: str, make, *args) -> DataFrame:
-    """Arrow batches through make(*args)(*columns) -> columns. make runs once a task; columns are Python lists."""
+    """Arrow batches through make(*args)(*columns) -> columns, about SLICE_BYTES at once, one row at least.
+
+    make runs once a task; columns are Python lists, and results may be numpy arrays.
+    """
     struct = T._parse_datatype_string(schema)
     arrow = to_arrow_schema(struct)
 
     def run(batches):
         step = make(*args)
         for batch in batches:
-            out = step(*(c.to_pylist() for c in batch.columns))
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, arrow)], schema=arrow)
+            for part in parts(batch):
+                out = step(*(c.to_pylist() for c in part.columns))
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, arrow)], schema=arrow)
 
     return map_arrow(df, run, struct)
 
 
+def parts(batch: pa.RecordBatch):
+    """Slices of a batch of about SLICE_BYTES each, so that what is made of them stays bounded."""
+    rows = max(1, batch.num_rows * SLICE_BYTES // max(1, batch.nbytes))
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
+def release() -> None:
+    """Give memory that a finished task leaves free back to the system: idle workers stay beside the next stage's heap."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def map_arrow(df: DataFrame, run, schema) -> DataFrame:
-    """df.mapInArrow with this package sent to the workers."""
+    """df.mapInArrow with this package sent to the workers and their memory given back after each task.
+
+    The session's bound on the bytes of an Arrow batch is lowered to SLICE_BYTES where it is higher or absent.
+    """
     ship(df.sparkSession)
-    return df.mapInArrow(run, schema)
+    bound = df.sparkSession.conf.get(BATCH_BYTES, "")
+    if not bound.rstrip("b").isdigit() or not 0 < int(bound.rstrip("b")) <= SLICE_BYTES:
+        df.sparkSession.conf.set(BATCH_BYTES, str(SLICE_BYTES))
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return df.mapInArrow(whole, schema)
+
+
+class Memo:
+    """A dictionary of bounded size. When it is full, what has not been asked for since the last time is forgotten.
+
+    weigh(key) is what an entry counts for; most is the bound of a generation, of which there are two. The keys of one
+    call are all kept, so a call's own keys are to be bounded by the caller.
+    """
+
+    def __init__(self, most: int, weigh=lambda key: 1):
+        self.most, self.weigh, self.size, self.young, self.old = most, weigh, 0, {}, {}
+
+    def fill(self, keys: set, make) -> None:
+        """Afterwards young has all the keys."""
+        new = keys - self.young.keys()
+        more = sum(map(self.weigh, new))
+        if self.size + more > self.most and self.young:
+            self.old, self.young, new = self.young, {}, keys
+            self.size, more = 0, sum(map(self.weigh, new))
+        self.size += more
+        again = new & self.old.keys()
+        self.young.update((k, self.old.pop(k)) for k in again)
+        self.young.update(make(list(new - again)))
 
 
 def without_blanks(text):

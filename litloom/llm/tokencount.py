@@ -17,10 +17,15 @@ from collections import Counter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import PIECES, UNEVEN, Memo
-from .common import map_columns
+from .common import Memo, map_columns
 
-MEMO_PIECES, MEMO_WORDS = 300_000, 500_000
+#: Bytes of the memos of pieces and of pre-tokens, a generation each, as Python counts them about.
+MEMO_PIECES, MEMO_WORDS = 32 << 20, 32 << 20
+WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Every boundary of these pieces is a boundary of the pre-token pattern too: no pre-token holds white space after
+#: its first character unless all of it is white space. So is a lone blank between two other characters.
+PIECES = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
+UNEVEN = re.compile(f"^ | $|[{WHITE}] | [{WHITE}]")
 
 
 class Counts:
@@ -34,7 +39,7 @@ class Counts:
             raise ValueError("pieces are independent for byte-level vocabularies without a normalizer only")
         special = sorted((t.content for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
-        self.of_piece, self.of_word = Memo(MEMO_PIECES), Memo(MEMO_WORDS)
+        self.of_piece, self.of_word = Memo(MEMO_PIECES, lambda p: 160 + len(p if isinstance(p, str) else p[0])), Memo(MEMO_WORDS, lambda w: 130 + len(w))
 
     def frequencies(self, text: str | None) -> tuple[int, Counter]:
         """Special tokens and the frequency of each piece. A str stands for the piece with its blank, a tuple for itself."""
