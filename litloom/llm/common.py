@@ -83,7 +83,7 @@ def map_arrow(df: DataFrame, run, schema) -> DataFrame:
     The session's bound on the bytes of an Arrow batch is lowered to SLICE_BYTES where it is higher or absent.
     """
     ship(df.sparkSession)
-    bound = df.sparkSession.conf.get(BATCH_BYTES, "")
+    bound = df.sparkSession.conf.get(BATCH_BYTES)
     if not bound.rstrip("b").isdigit() or not 0 < int(bound.rstrip("b")) <= SLICE_BYTES:
         df.sparkSession.conf.set(BATCH_BYTES, str(SLICE_BYTES))
 
