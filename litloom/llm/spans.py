@@ -1,37 +1,44 @@
 """Substring dedup by sliding sentence spans.
 
-A text is cut into sentences (after . ! ? before white space, and at line breaks; a sentence of more than UNIT_WORDS
+A text is cut into sentences (after a word that ends in . ! or ?, and at line breaks; a sentence of more than UNIT_WORDS
 words is cut on at places that its own words name, see inner_cuts). From each unit starts a run: RUN units or more,
-until it has RUN_WORDS words.
-Every run's hash is joined globally; a unit covered by a run that stands earlier in the corpus (by id, then position)
-is removed.
+until it has RUN_WORDS words. Every run's hash is joined globally; a unit covered by a run that stands earlier in the
+corpus (by id, then position) is removed. Case is folded character by character.
 
 Cuts agree wherever a passage starts, but for the first 2 * WINDOW - 2 words and the last 2 * WINDOW - 1, which words
-outside it may cut. Of 51 words 26 lie between, enough for a run: RUN_WORDS - 1 words and one more unit. So a repeated
-passage of 51 words or more always shares a run; at most 12 words stay at its start and 27 at its end, as the last run
-may stop up to 14 words before the last cut that agrees.
+outside it may cut. Of 51 words 18 lie between; the first cut of them and the RUN_WORDS - 1 + WINDOW words after it end
+before the last 9, within which no cut is sure. So a repeated passage of 51 words or more always shares a run; at most 16
+words stay at its start and 31 at its end, as the last run may stop up to 14 words before the last cut that agrees.
 
-Runs are pre-aggregated by hash, so a passage that a third of all documents share is one row a task; only repeated
-hashes come back, by a join whose hot keys Spark may split. A document's text is read again only for its own result.
+A document's own repeats need no join: it sends each hash once, from where it stands first, and knows the others when
+it is cleaned. What is sent is pre-aggregated by hash, so a passage that a third of all documents share is one row a
+task; only repeated hashes come back, by a join whose hot keys Spark may split. A document's text is read again only for
+its own result.
 
 Defined results: null and wordless texts have no runs and stay as they are; of repeated rows with equal id and text no
-copy is first or later, so neither removes the other; an empty table gives no rows.
+copy is first or later, so neither removes the other; null ids come last; very long texts are read whole, their marks
+being as many as their own units at most; an empty table gives no rows; other columns are not looked at.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_columns, settle
-from .rolling import Text, mixed
+from .rolling import Text, mixed, powers
+
+RUN, RUN_WORDS, UNIT_WORDS, WINDOW = 2, 16, 11, 9
+#: A word that ends in one of these ends a sentence.
+STOPS = np.array([ord(c) for c in ".!?"], np.uint32)
+
 
-RUN, RUN_WORDS, UNIT_WORDS, WINDOW = 2, 16, 11, 7
-#: Ends of sentences.
-BREAK = re.compile(r"(?<=[.!?])[ \t\x0b\x0c\r]+|\n+")
+def folded(text: str) -> str:
+    """text in lower case, character by character: the one letter whose lower case is longer counts as its plain one."""
+    low = text.lower()
+    return low if len(low) == len(text) else text.replace("\u0130", "i").lower()
 
 
 def inner_cuts(words: np.ndarray, sentence: np.ndarray, long: np.ndarray) -> np.ndarray:
@@ -45,12 +52,12 @@ def inner_cuts(words: np.ndarray, sentence: np.ndarray, long: np.ndarray) -> np.
 
 def units(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Start, end (code points, the break after it included), words and hash of each unit."""
-    t = Text(text.lower() if len(text.lower()) == len(text) else text)
-    cuts = np.array([m.end() for m in BREAK.finditer(text)], np.int64)
-    first = np.unique(np.searchsorted(t.starts, np.append(0, cuts)))
-    first = first[first < len(t.starts)]
-    if not len(first):
+    t = Text(folded(text))
+    if not len(t.starts):
         return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
+    lines = np.cumsum(t.codes == 10)
+    new = np.isin(t.codes[t.ends[:-1] - 1], STOPS) | (lines[t.starts[1:]] > lines[t.ends[:-1] - 1])
+    first = np.append(0, np.flatnonzero(new) + 1)
     counts = np.diff(np.append(first, len(t.starts)))
     words = t.words()
     if (counts > UNIT_WORDS).any():
@@ -73,26 +80,24 @@ def runs(counts: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray
     end = np.maximum(np.searchsorted(words, words[:-1] + RUN_WORDS), np.arange(n) + RUN)
     at = np.flatnonzero(end <= n)
     size = end[at] - at
-    out = mixed(size.astype(np.uint64))
-    for k in range(int(size.max(initial=0))):
-        on = size > k
-        out[on] = mixed(out[on] * np.uint64(0x100000001B3) + hashes[at[on] + k])
-    return at, size, out
+    up, down = powers(n + 1)
+    sums = np.append(np.uint64(0), np.cumsum(hashes * up[:n]))
+    return at, size, mixed((sums[end[at]] - sums[at]) * down[at] + size.astype(np.uint64))
 
 
 def _runs():
     def step(keys, places, texts):
-        ids, of, at, size, hashes = [], [], [], [], []
-        for key, place, t in zip(keys, places, texts):
-            if t:
-                _, _, counts, own = units(t)
-                a, n, h = runs(counts, own)
-                ids += [key] * len(a)
-                of += [place] * len(a)
-                at += a.tolist()
-                size += n.tolist()
-                hashes += h.view(np.int64).tolist()
-        return ids, of, at, size, hashes
+        sizes, at, hashes = [], [], []
+        for t in texts:
+            _, _, counts, own = units(t or "")
+            a, _, h = runs(counts, own)
+            h, first = np.unique(h, return_index=True)
+            sizes.append(len(h))
+            at.append(a[first])
+            hashes.append(h.view(np.int64))
+        row = np.repeat(np.arange(len(texts)), sizes)
+        ids = pa.array(keys).take(pa.array(row)) if len(row) else []
+        return ids, np.array(places, np.int64)[row], np.concatenate([np.zeros(0, np.int64), *at]).astype(np.int32), np.concatenate([np.zeros(0, np.int64), *hashes])
 
     return step
 
@@ -101,11 +106,15 @@ def _clean():
     def step(keys, texts, marks):
         n, gone, lost, clean = [], [], [], []
         for t, own in zip(texts, marks):
-            starts, ends, counts, _ = units(t or "")
+            starts, ends, counts, hashes = units(t or "")
+            at, size, run = runs(counts, hashes)
+            later = np.ones(len(at), bool)
+            later[np.unique(run, return_index=True)[1]] = False
+            if own:
+                later |= np.isin(at, own)
             off = np.zeros(len(starts) + 1, np.int64)
-            for m in own or []:
-                off[m["at"]] += 1
-                off[m["at"] + m["size"]] -= 1
+            np.add.at(off, at[later], 1)
+            np.add.at(off, (at + size)[later], -1)
             out = np.cumsum(off[:-1]) > 0
             n.append(len(starts))
             gone.append(int(out.sum()))
@@ -120,13 +129,13 @@ def remove_repeats(docs: DataFrame, text: str = "text", id: str = "doc_id") -> D
     """id, n_units, n_removed, n_removed_words, text (what stays), a row for each row of docs."""
     kind = docs.schema[id].dataType.simpleString()
     rows = docs.select(F.col(id).alias("id"), F.xxhash64(F.col(text)).alias("place"), F.col(text).alias("text"))
-    found = settle(map_columns(rows, f"id {kind}, place long, at int, size int, hash long", _runs), "runs")
-    order = F.struct(F.col("id").isNull().alias("none"), "id", "place", "at")
-    firsts = found.groupBy("hash").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("hash", "first")
+    found = settle(map_columns(rows, f"id {kind}, place long, at int, hash long", _runs), "runs")
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "place")
+    firsts = found.groupBy("hash").agg(F.min(order).alias("first"), F.max(order).alias("last")).where("first <> last").select("hash", "first")
     firsts = settle(firsts, "firsts")  # so that both sides of the join are exchanged and a hot hash can be split
     later = found.join(firsts, "hash").where(order != F.col("first"))
     # A text's marks: bounded by its own units, whatever the corpus holds.
-    marks = later.select("id", "place", "at", "size").distinct().groupBy("id", "place").agg(F.collect_list(F.struct("at", "size")).alias("marks"))
-    marks = marks.select(F.col("id").alias("of"), F.col("place").alias("there"), "marks")
+    marks = later.groupBy(F.col("id").alias("of"), F.col("place").alias("there")).agg(F.collect_set("at").alias("marks"))
+    marks = settle(marks, "marks")  # so that rows that repeat one id and text can be split
     met = rows.join(marks, F.col("id").eqNullSafe(F.col("of")) & (F.col("place") == F.col("there")), "left").select("id", "text", "marks")
     return map_columns(met, f"`{id}` {kind}, n_units int, n_removed int, n_removed_words long, `{text}` string", _clean)
