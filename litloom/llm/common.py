@@ -21,9 +21,11 @@ BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset (local tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset and all is one machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = "/tmp/checkpoints/litloom"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -122,3 +124,11 @@ class Memo:
 def without_blanks(text):
     """text without the characters of [\\x20\\x09-\\x0D]; null is empty."""
     return F.translate(F.coalesce(text, F.lit("")), BLANKS, "")
+
+
+def whole_row(docs: DataFrame, text: str):
+    """The row as a struct, and a string that orders rows of equal keys: their other columns as JSON and a hash of the
+    text. Columns that have no order themselves (maps) may be among them."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c != text]
+    order = F.struct((F.to_json(F.struct(*others)) if others else F.lit("")).alias("others"), F.xxhash64(F.col(f"`{text}`")).alias("hash"))
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]), order
