@@ -1,7 +1,8 @@
 """Near-duplicate search by improved consistent weighted sampling over TF-IDF shingles.
 
 1. Shingles are windows of five lower-cased words (a shorter text is one shingle). Document frequencies of all
-   documents are counted in a table of SLOTS hashed slots, whose size doesn't grow with the data.
+   documents are counted in a table of SLOTS hashed slots, whose size doesn't grow with the data; what a slot holds by
+   chance (the median) is taken off, so frequent shingles stand out however many rare ones there are.
 2. A shingle weighs tf * idf, idf = 1 + ln((N + 1) / (df + 1)) / ln(N + 1), so 1 to 2. Each text gets HASHES samples
    (shingle, quantum) and BANDS band keys. Texts with equal word sequences are one class from here on.
 3. Buckets are searched without their pairs: in each of ROUNDS rounds the members of a bucket that are not yet in its
@@ -16,7 +17,8 @@ Random numbers of a (shingle, sample) come from a table of FIELDS gamma and unif
 share a draw go to the least shingle hash in every text alike.
 
 Defined results: null and wordless texts are alone in their groups and are kept; rows that repeat id and words are one
-class; an empty table gives no rows.
+class; ids may be null or repeat with other texts, as rows are named by id and hash of the text; very long texts are
+sketched and compared whole; other columns are not looked at; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, map_columns, settle
+from .common import map_arrow, map_columns, parts, settle, whole_row
 from .rolling import Text, grams, mixed
 
 WORDS, THRESHOLD = 5, 0.8
@@ -63,12 +65,10 @@ def document_frequencies(docs: DataFrame) -> np.ndarray:
     def count(batches):
         own, n = np.zeros(SLOTS, np.int64), 0
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                values = shingles(t)[0]
-                own += 0 if not len(values) else np.bincount(slots(values), minlength=SLOTS) if len(values) > 50_000 else 0
-                if 0 < len(values) <= 50_000:
-                    np.add.at(own, slots(values), 1)
-                n += 1
+            for part in parts(batch):
+                texts = part.column(0).to_pylist()
+                own += np.bincount(np.concatenate([slots(shingles(t)[0]) for t in texts]), minlength=SLOTS)
+                n += len(texts)
         if n:
             for k in range(SLICES):
                 yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([n if k == 0 else 0], pa.int64()), pa.array([zlib.compress(own[k * size : (k + 1) * size].tobytes(), 1)], pa.binary())], names=["slice", "n", "counts"])
@@ -92,8 +92,11 @@ def document_frequencies(docs: DataFrame) -> np.ndarray:
 
 
 def idf_table(frequencies: np.ndarray) -> np.ndarray:
+    """idf of each slot. What a slot holds by chance, the median of all, is not the frequency of its shingle and goes, so
+    that weights stay apart when there are more shingles than slots."""
     n = max(2, int(frequencies[-1]))
-    return (1 + np.log((n + 1) / (np.minimum(frequencies[:-1], n) + 1)) / np.log(n + 1)).astype(np.float32)
+    own = np.clip(frequencies[:-1] - np.median(frequencies[:-1]), 0, n)
+    return (1 + np.log((n + 1) / (own + 1)) / np.log(n + 1)).astype(np.float32)
 
 
 def fields() -> tuple[np.ndarray, ...]:
@@ -315,11 +318,14 @@ def _grouped(docs: DataFrame, threshold: float, text: str, id: str) -> DataFrame
 
 
 def keep_one(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
-    """The rows of docs that stay, with docs' own columns: one of each group. Of rows that repeat id and text the first in
-    the order of their columns stays, but wordless ones all stay."""
-    stays = _grouped(docs, THRESHOLD, text, id).where("kept").select(F.col("id").alias("__keep"), F.col("place").alias("__at")).distinct()
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
-    full = docs.select(row, F.col(id).alias("__id"), F.xxhash64(F.col(text)).alias("__place"), F.coalesce(F.col(text).rlike("[^\\x20\\x09-\\x0D]"), F.lit(False)).alias("__worded"))
-    met = full.join(stays, F.col("__id").eqNullSafe(F.col("__keep")) & (F.col("__place") == F.col("__at")), "left_semi")
-    once = met.where("__worded").groupBy("__id", "__place").agg(F.min("__row").alias("__row"))
-    return once.select("__row.*").unionByName(met.where("NOT __worded").select("__row.*"))
+    """The rows of docs that stay, with docs' own columns: one of each group. Of rows that repeat id and text the first by
+    their other columns stays, but null and wordless ones all stay. Texts are dealt out once, rows that repeat id and text
+    reduced before."""
+    names = [F.col("id").isNull().alias("__none"), F.coalesce(F.col("id").cast("string"), F.lit("")).alias("__name"), F.col("place").alias("__place")]
+    stays = _grouped(docs, THRESHOLD, text, id).where("kept").select(*names).distinct()
+    row, order = whole_row(docs, text)
+    worded = F.coalesce(F.col(text).rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
+    full = docs.select(row.alias("__row"), order.alias("__order"), F.col(id).alias("id"), F.xxhash64(F.col(text)).alias("place"), worded.alias("__worded"))
+    once = full.where("__worded").select(*names, "__row", "__order").groupBy("__none", "__name", "__place").agg(F.min_by("__row", "__order").alias("__row"))
+    kept = once.join(stays, ["__none", "__name", "__place"], "left_semi")
+    return kept.select("__row.*").unionByName(full.where("NOT __worded").select("__row.*"))
