@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write df to the folder that spark.checkpoint.dir names (our own where it is unset) and read it again."""
+    """Write df to the folder that spark.checkpoint.dir names (our own where it is unset and all is one machine) and read it again."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = "/tmp/checkpoints/litloom"
         spark.conf.set("spark.checkpoint.dir", folder)
     path = f"{folder.rstrip('/')}/cut-{uuid.uuid4().hex}"
