@@ -132,3 +132,17 @@ def whole_row(docs: DataFrame, text: str):
     others = [F.col(f"`{c}`") for c in docs.columns if c != text]
     order = F.struct((F.to_json(F.struct(*others)) if others else F.lit("")).alias("others"), F.xxhash64(F.col(f"`{text}`")).alias("hash"))
     return F.struct(*[F.col(f"`{c}`") for c in docs.columns]), order
+
+
+#: Copies of one row that a task writes out at once.
+COPIES = 1 << 16
+
+
+def repeated(rows: DataFrame, times: str) -> DataFrame:
+    """Each row as often as its long column times says, with copy 1, 2, ... Copies of one row by the million are dealt
+    out before they are written."""
+    n = F.col(times).cast("long")
+    few = rows.where(n.between(1, COPIES)).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), n)))
+    part = rows.where(n > COPIES).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"({times} - 1) div {COPIES}")))).repartition(F.col("part"))
+    many = part.withColumn("copy", F.explode(F.expr(f"sequence(part * {COPIES} + 1, least({times}, (part + 1) * {COPIES}))"))).drop("part")
+    return few.unionByName(many)

@@ -19,11 +19,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch, settle, shared_dir, whole_row, without_blanks
+from .common import repeated, scratch, settle, shared_dir, whole_row, without_blanks
 
 ROWS_A_BUCKET, LEAST_BUCKETS = 4_000_000, 8
-#: Copies of one row that a task writes out at once.
-COPIES = 1 << 16
 COLUMNS = ["digest", "keep_id", "keep_size", "group_size", "batch"]
 
 
@@ -107,12 +105,7 @@ def dedup(docs: DataFrame, index: DigestIndex, text: str = "text", id: str = "do
     counted = rows.groupBy("digest", "id", "size").agg(F.count(F.lit(1)).alias("times"))
     stays = F.col("fresh") & F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("size") == F.col("keep_size"))
     own = counted.join(decided, "digest").select("id", "keep_id", "group_size", "times", stays.alias("stays"), "digest")
-    few = own.where(F.col("times") <= COPIES).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("long"))))
-    # Copies of one row by the million are dealt out before they are written out.
-    part = own.where(F.col("times") > COPIES).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(times - 1) div {COPIES}"))))
-    part = part.repartition(F.col("part"), "id")
-    many = part.withColumn("copy", F.explode(F.expr(f"sequence(part * {COPIES} + 1, least(times, (part + 1) * {COPIES}))"))).drop("part")
-    every = few.unionByName(many)
+    every = repeated(own, "times")
     return every.select(F.col("id").alias(id), "keep_id", "group_size", (F.col("stays") & (F.col("copy") == 1)).alias("kept"), "digest")
 
 

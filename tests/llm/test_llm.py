@@ -297,3 +297,54 @@ def test_pipeline(spark):
     assert all(quality.measure(docs[i])[6] for i in ids)
     texts = [re.sub(r"[\x20\x09-\x0D]", "", docs[i]) for i in set(ids)]
     assert len(texts) == len(set(texts))
+
+
+def test_mix_of_repeated_and_null_ids(spark):
+    """Rows that share ids, or repeat whole, get what their source is to get, and mixed() gives it as rows, by brute force."""
+    rows = [(None, "a b c d e", "s1")] * 500 + [(None, f"w{i} b c d e", "s1") for i in range(300)] + [(7, "x y z", "s2")] * 40 + [(7, f"x y z{i}", None) for i in range(60)] + [(8, None, "s2")] * 3
+    docs = spark.createDataFrame([(*r, {"k": "v"}) for r in rows], "doc_id long, text string, source string, extra map<string,string>")
+    got = mixing.mix(docs)["rows"].collect()
+    assert len(got) == len(rows) and all(r.taken <= 3 * r.size for r in got)
+    size = Counter()
+    for _, t, s in rows:
+        size[s] += len((t or "").split())
+    taken, target = Counter(), {r.source: r.target for r in got}
+    for r in got:
+        taken[r.source] += r.taken
+    assert all(r.source_size == size[r.source] for r in got) and set(target) == {"s1", "s2", None}
+    for s, goal in target.items():
+        assert abs(taken[s] - goal) <= max(0.01 * goal, 2)
+    same = [r.taken for r in got if r.source == "s2" and r.size]
+    assert max(same) - min(same) <= 2  # parts of equal rows, each shared to a word
+    out = mixing.mixed(docs)
+    assert out.columns == docs.columns
+    words = Counter()
+    for r in out.collect():
+        assert r.extra == {"k": "v"}
+        words[r.source] += len((r.text or "").split())
+    for s, goal in target.items():
+        assert abs(words[s] - goal) <= max(0.05 * goal, 10)
+
+
+def brute_bpe(word, ranks):
+    part = [word[i : i + 1] for i in range(len(word))]
+    while True:
+        best = min(((ranks[part[i] + part[i + 1]], i) for i in range(len(part) - 1) if part[i] + part[i + 1] in ranks), default=None)
+        if best is None:
+            return [ranks[p] for p in part]
+        i = best[1]
+        part[i : i + 2] = [part[i] + part[i + 1]]
+
+
+def test_bpe_of_many_long_words():
+    """20,000 distinct words just below the bound of a query's words: memory stays bounded; a text longer than a slice."""
+    draw = np.random.default_rng(11)
+    codec = bpe.Codec(public_tokenizers.path(queries.MULTI), public_tokenizers.PATTERN)
+    words = ["".join(map(chr, draw.integers(97, 123, 126))) for _ in range(20_000)]
+    got = codec.words(words)
+    for w in words[::2000]:
+        assert got[w] == ",".join(map(str, brute_bpe(w.encode(), codec.ranks)))
+    long = " ".join(f"piece{i}" for i in range(300_000))
+    assert len(long) > bpe.SLICE
+    parts = list(next(codec.each([long])))
+    assert len(parts) > 1 and b"".join(raw for *_, raw in parts).decode() == long
