@@ -1,15 +1,16 @@
 """Quality classifier by importance resampling.
 
 Words and word pairs are hashed to BUCKETS features. The raw model counts the features of all documents, the target
-model those of the documents labelled as good; a document's weight is the mean log ratio of the two over its features,
-scaled by SHARPNESS. With Gumbel noise drawn from a hash of its id the top k are a sample without replacement in
+model those of the documents labelled as good; a document's weight is the log of the ratio of its probabilities under
+the two, the sum of the log ratios of its features. With Gumbel noise drawn from a hash of its id the top k are a sample without replacement in
 proportion to exp(weight); k is the rate of good among labelled documents, times all.
 
 Counts are vectors of fixed length, summed in the tasks before they are dealt out. The k-th key is found exactly by
 radix selection over sortable 64-bit keys, 16 bits a pass; ties at the k-th are all kept.
 
 Defined results: wordless and null texts have weight 0 before noise; without labels all have weight 0 and all are
-kept; an empty table gives no rows.
+kept; rows that repeat an id share its noise, and all rows of a labelled id teach; null ids share theirs and teach
+nothing; very long texts count with all their features; other columns are not looked at; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import map_arrow, map_columns, settle
 from .rolling import Text, grams, mixed
 
-BUCKETS, SHARPNESS, SMOOTH = 1 << 16, 40.0, 0.5
+BUCKETS, SMOOTH = 1 << 16, 0.5
 #: The model of good text is fitted on so many labelled documents at most, the first by a hash of their ids.
 FITTED = 100_000
 
@@ -74,7 +75,7 @@ def _weights(ratio):
         noise = -np.log(-np.log((noise + 0.5) / 2.0**53))
         for t, g in zip(texts, noise):
             at = features(t)
-            w = SHARPNESS * float(ratio.value[at].mean()) if len(at) else 0.0
+            w = float(ratio.value[at].sum())
             bits = int(np.float64(w + g).view(np.int64))
             weight.append(w)
             order.append(bits if bits >= 0 else bits ^ 0x7FFFFFFFFFFFFFFF)

@@ -8,7 +8,8 @@ products: n-gram presence by landmark presence, and kernel values by the regress
 Training sample: PER_LANGUAGE distinct texts a language at most, chosen by a hash of the text; all else is exact.
 
 Defined results: null texts and texts without a letter are `und` with score 0, as is every text if there is nothing to
-learn from; ties go to the first language by code point; texts of any length are read whole.
+learn from; ties go to the first language by code point; texts of any length are read whole; repeated rows and null ids
+give a row each; other columns are not looked at; an empty table gives no rows.
 """
 
 from __future__ import annotations

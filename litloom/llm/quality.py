@@ -3,7 +3,9 @@
 Rolling hashes of words, word n-grams of several lengths and lines are made in numpy; a text fails if too large a part
 of its word characters lies inside n-grams that it repeats, or of its lines' characters in lines that it repeats.
 
-Defined results: null and wordless texts have no words and fail the base rule; every text is measured whole.
+Defined results: null and wordless texts have no words and fail the base rule; every text is measured whole, however
+long; repeated rows and null ids give a row each; other columns are not looked at (keep_good gives them back); an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import map_arrow, map_columns
+from .common import map_arrow, map_columns, parts
 from .rolling import Text, covered, grams, repeated
 
 SYMBOLS = np.array([ord(c) for c in "#*$%&|<>"], np.uint32)
@@ -77,6 +79,7 @@ def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            yield batch.filter(pa.array([measure(t)[6] for t in batch.column(at).to_pylist()], pa.bool_()))
+            for part in parts(batch):
+                yield part.filter(pa.array([measure(t)[6] for t in part.column(at).to_pylist()], pa.bool_()))
 
     return map_arrow(docs, run, docs.schema)
