@@ -1,7 +1,10 @@
 import base64
 import hashlib
 import re
+import subprocess
+import sys
 from collections import Counter
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -348,3 +351,129 @@ def test_bpe_of_many_long_words():
     assert len(long) > bpe.SLICE
     parts = list(next(codec.each([long])))
     assert len(parts) > 1 and b"".join(raw for *_, raw in parts).decode() == long
+
+
+def test_language_by_brute_force():
+    """Kernel, landmarks and ridge regression from sets of n-grams and plain loops."""
+
+    def sets(t):
+        flat = re.sub(r"\s+", " ", "".join(c.lower() if c.isalpha() else " " for c in f" {t} "))
+        return {flat[i : i + n] for n in (1, 2, 3) for i in range(len(flat) - n + 1)}
+
+    texts = ["the cat and the dog", "a house of the king", "le chat et le chien", "une maison du roi", "der hund und die katze", "ein haus des herrn"]
+    langs = ["en", "en", "fr", "fr", "de", "de"]
+    model = langid.Model(sorted(set(langs)), [langid.ngrams(t) for t in texts], langs)
+    marks = [t for lang in sorted(set(langs)) for t, own in zip(texts, langs) if own == lang]
+
+    def kernel(a, b):
+        return len(sets(a) & sets(b)) / (len(sets(a)) * len(sets(b))) ** 0.5
+
+    k = np.array([[kernel(t, m) for m in marks] for t in texts])
+    w = np.array([[kernel(a, b) for b in marks] for a in marks])
+    y = np.array([[1.0 if own == lang else -1.0 for lang in sorted(set(langs))] for own in langs])
+    left = k.T @ k + langid.RIDGE * len(texts) / len(marks) * w
+    weights = np.linalg.solve(left + 1e-8 * np.trace(left) * np.eye(len(marks)), k.T @ y)
+    asked = ["the king and the cat", "le roi et la maison", "die katze des herrn", "x", ""]
+    names, scores = model.predict(asked)
+    for t, name, score in zip(asked[:-1], names, scores):
+        values = np.array([kernel(t, m) for m in marks]) @ weights
+        assert name == sorted(set(langs))[int(values.argmax())] and score == pytest.approx(np.clip((values.max() + 1) / 2, 0, 1), abs=2e-3)
+    assert names[:3] == ["en", "fr", "de"] and (names[-1], scores[-1]) == ("und", 0.0)
+
+
+def test_importance_by_brute_force(spark):
+    docs = {1: "good words here", 2: "bad words there", 3: "good good words", 4: None, 5: "quite other text"}
+    table = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    labels = spark.createDataFrame([(1, True), (2, False), (3, True)], "doc_id long, good boolean")
+    raw, target = Counter(), Counter()
+    for i, t in docs.items():
+        own = importance.features(t).tolist()
+        raw.update(own)
+        target.update(own if i in (1, 3) else [])
+    size = importance.BUCKETS
+    total = {"raw": sum(raw.values()) + size * importance.SMOOTH, "target": sum(target.values()) + size * importance.SMOOTH}
+    got = {r.doc_id: r.weight for r in importance.resample(table, labels).collect()}
+    for i, t in docs.items():
+        want = sum(np.log((target[f] + importance.SMOOTH) / total["target"]) - np.log((raw[f] + importance.SMOOTH) / total["raw"]) for f in importance.features(t).tolist())
+        assert got[i] == pytest.approx(want)
+
+
+def test_importance_on_held_out_labels(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "quality", ((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("good"))
+    out = importance.resample(docs, labels.where("doc_id % 2 = 0").select("doc_id", "good"))
+    rate = {r.quality: r.k for r in labels.where("doc_id % 2 = 1").join(out, "doc_id").groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("k")).collect()}
+    assert rate[1] > 0.75 > 0.45 > rate[0]
+
+
+def test_web_tokens_are_the_rule():
+    rule = re.compile(next(p for n, p, *_ in blobledger.RULES if n == "jwt"))
+    draw = np.random.default_rng(4)
+    for _ in range(4000):
+        t = "".join(draw.choice(["eyJ", "a", ".", "ey", "J", " ", "-"], draw.integers(1, 24)))
+        assert list(blobledger.web_tokens(t)) == [m.span() for m in rule.finditer(t)], t
+    assert list(blobledger.web_tokens("eyJ" * 400_000 + ".eyJ")) == []
+
+
+FIRST_APPLICATION = """
+import sys
+sys.path.insert(0, sys.argv[1])
+from litloom.llm import blobledger, exact
+from litloom.session import local
+spark = local("2", "1g", **{"spark.checkpoint.dir": sys.argv[2] + "/shared"})
+docs = spark.createDataFrame([(1, "one"), (2, "two")], "doc_id long, text string")
+print(exact.dedup(docs, exact.DigestIndex(spark, "known_digests", sys.argv[2] + "/index")).where("kept").count())
+print(blobledger.findings(docs, blobledger.Ledger(spark, sys.argv[2] + "/ledger"), path="doc_id", content="text").count())
+"""
+
+
+def test_index_and_ledger_of_another_application(spark, tmp_path):
+    """A second application finds what a first left in the shared folder, joins against it and adds to it."""
+    root = str(Path(corpus_pipeline.__file__).resolve().parent)
+    done = subprocess.run([sys.executable, "-c", FIRST_APPLICATION, root, str(tmp_path)], capture_output=True, text=True, timeout=300, cwd=tmp_path)
+    assert done.stdout.split()[-2:] == ["2", "2"], done.stderr[-2000:]
+    docs = spark.createDataFrame([(3, "two"), (4, "three"), (5, "three")], "doc_id long, text string")
+    index = exact.DigestIndex(spark, "known_digests", str(tmp_path / "index"))
+    got = {r.doc_id: (r.kept, r.keep_id, r.group_size) for r in exact.dedup(docs, index).collect()}
+    assert got == {3: (False, 2, 1), 4: (True, 4, 2), 5: (False, 4, 2)}
+    assert index.rows().count() == 3 and {r.keep_id for r in index.rows().collect()} == {1, 2, 4}
+    known = index.rows().hint("merge").select("digest")
+    plan = docs.select(exact.digest(F.col("text")).alias("digest")).join(known, "digest", "left_anti")._jdf.queryExecution().executedPlan().toString()
+    assert "LeftAnti" in plan and plan.count("Exchange hashpartitioning") == 1  # the index itself is not dealt out
+    ledger = blobledger.Ledger(spark, str(tmp_path / "ledger"))
+    assert ledger.rows().count() == 2
+    assert blobledger.findings(docs, ledger, path="doc_id", content="text").count() == 3
+    assert ledger.rows().count() == 3 and blobledger.findings(docs.where("false"), ledger, path="doc_id", content="text").count() == 0
+
+
+def test_stages_on_odd_and_empty_tables(spark, odd, none, tmp_path):
+    docs = odd.withColumn("extra", F.expr("map('k', doc_id)"))
+    for name, stage in corpus_pipeline.STAGES:
+        out, empty = stage(spark, docs, ""), stage(spark, none, "")
+        assert empty.count() == 0, name
+        if name != "byte-level BPE":
+            assert out.columns == docs.columns and empty.columns == none.columns
+        ids = Counter(r.doc_id for r in out.collect())
+        if name == "quality rules":
+            assert ids == {6: 1}
+        elif name == "exact dedup":  # 0, 1 and 2 are equal; 8, 9 and the repeated 9 too
+            assert ids == {2: 1, None: 1, 4: 1, 5: 1, 6: 1, 7: 1, 8: 1}
+        elif name == "near dedup":
+            assert ids == {i: 1 for i in (0, 1, 2, None, 4, 5, 6, 7, 8)}
+        elif name == "source mix":
+            assert not {0, 1, 2} & set(ids)
+        else:
+            assert sum(ids.values()) == odd.count()
+    for sub, table in (("odd", odd), ("none", none)):
+        table.write.parquet(str(tmp_path / sub / "documents.parquet"))
+        got = corpus_pipeline.run(spark, str(tmp_path / sub)).collect()
+        assert {r.doc_id for r in got} == ({6} if sub == "odd" else set())
+
+
+def test_folding_by_character(spark):
+    """One letter whose lower case is longer leaves the rest of its text folded."""
+    passage = "the quick passage of words stands in both texts here. it goes on for some more words. and it ends."
+    rows = [(1, passage), (2, f"İstanbul stands first. {passage.upper()}"), (3, "no such text")]
+    got = {r.doc_id: r for r in spans.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[2].n_removed >= 2 and got[1].n_removed == got[3].n_removed == 0
