@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import BLANKS, repeated, settle, whole_row
 
 BLOCK_WORDS, MOST_TIMES, PARTS = 256, 3, 64
-BUCKET_ROWS, PART_WORDS, CHUNK, BINS = 1 << 16, 1 << 12, 1 << 14, 1024
+BUCKET_ROWS, PART_WORDS, CHUNK, BINS = 1 << 12, 1 << 12, 1 << 14, 1024
 RING = 1 << 31
 #: The odd integer nearest to 2**31 / golden ratio.
 GOLDEN = 1327217885
