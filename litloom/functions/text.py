@@ -7,12 +7,55 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Entities, and the words and categories that results depend on.
+# Entities, words, patterns and labels that results depend on. Of the stopwords those that a token can be:
+# three letters or more and no apostrophe.
 ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&nbsp;": " ", "&amp;": "&"}
-STOPWORDS = ["the", "and", "for", "are", "was", "were", "that", "this", "with", "from", "which", "have", "has", "can", "our"]
-HEDGES = ["may", "might", "could", "possibly", "perhaps", "likely", "suggests"]
-ACRONYMS = ["AI", "ML", "NLP", "LLM", "GPU", "BERT", "GPT"]
-STATUS = {"open": "AVAILABLE", "closed": "UNAVAILABLE", "paywalled": "PAYWALLED", "missing": "NOT_FOUND", "error": "FAILED"}
+STOPWORDS = """about above after again against all and any are because been before being below between both but cannot could
+did does doing down during each few for from further had has have having her here hers herself him himself his how into its
+itself more most myself nor not off once only other ought our ours ourselves out over own same she should some such than that
+the their theirs them themselves then there these they this those through too under until very was were what when where which
+while who whom why with would you your yours yourself yourselves""".split()
+HEDGES = ["may", "could", "might", "potentially", "hypothesize", "preliminary", "suggests"]
+ACRONYMS = """CNN RNN LSTM GRU BERT GPT SVM KNN GAN VAE RL DRL NLP ML AI DL LLM GNN SGD AUC ROC MSE RMSE MAE F1 FPR TPR IDS NIDS API
+CPU GPU TPU RAM NSL-KDD CICIDS2017 UNSW-NB15 KDD99 MNIST MIMIC-III""".split()
+BULLETS = r"^(\s*[-*•–—]\s*|\s*\d+[.)]\s*|\s*\([a-zA-Z0-9]+\)\s*)+"
+STATUS = {
+    "AVAILABLE": "DISCOVERABLE", "FULLTEXT_AVAILABLE": "DISCOVERABLE", "DISCOVERABLE": "DISCOVERABLE", "QUEUED": "QUEUED", "FETCH_QUEUED": "QUEUED",
+    "DOWNLOADING": "DOWNLOADING", "FETCHING": "DOWNLOADING", "DOWNLOADED": "DOWNLOADED", "FULLTEXT_DOWNLOADED": "DOWNLOADED",
+    "UNAVAILABLE": "UNAVAILABLE", "FULLTEXT_UNAVAILABLE": "UNAVAILABLE", "NOT_CHECKED": "NOT_CHECKED", "FULLTEXT_NOT_CHECKED": "NOT_CHECKED",
+    "FAILED": "FAILED", "FETCH_FAILED": "FAILED", "FULLTEXT_FAILED": "FAILED",
+}
+SURVEY = r"(?i)\bsurvey\b"
+REVIEW = r"(?i)\b(a review of|systematic (literature )?review|overview and perspective|state[- ]of[- ]the[- ]art review|literature review)\b"
+#: Source -> label -> the source's own types; for the last source words that its type holds, in order.
+KINDS = {
+    "openalex": {
+        "RESEARCH_ARTICLE": ["article", "journal-article", "preprint", "posted-content"], "CONFERENCE_PAPER": ["conference-paper", "conference-abstract", "proceedings"],
+        "BOOK_CHAPTER": ["book-chapter", "book-section", "book", "monograph", "edited-book"], "REVIEW": ["review", "systematic-review"], "EDITORIAL": ["editorial", "letter", "note"],
+        "FRONT_MATTER": ["reference-entry", "erratum", "paratext"], "OTHER": ["peer-review", "software", "dataset", "other"],
+    },
+    "crossref": {
+        "RESEARCH_ARTICLE": ["journal-article", "posted-content"], "CONFERENCE_PAPER": ["proceedings-article", "proceedings"],
+        "BOOK_CHAPTER": ["book-chapter", "book-section", "monograph", "edited-book", "book", "reference-book"], "EDITORIAL": ["editorial", "letter"],
+        "FRONT_MATTER": ["journal", "journal-issue", "component"], "OTHER": ["peer-review", "dataset"],
+    },
+    "semantic_scholar": {"RESEARCH_ARTICLE": ["journal", "article"], "CONFERENCE_PAPER": ["conference", "proceedings"], "REVIEW": ["review"], "BOOK_CHAPTER": ["book"], "EDITORIAL": ["editorial"]},
+}
+BUCKETS = {
+    "ABSTRACT": "abstract|summary", "INTRO_BACKGROUND": r"intro|background|overview|motivation|related\s*work",
+    "METHODS": "method|methodology|approach|architecture|system|model|implementation|framework",
+    "RESULTS": "result|experiment|evaluation|finding|empirical|performance|analysis", "CONCLUSION_LIMITATIONS": "conclusion|limit|future|threat|discussion",
+}
+NUMBERS = r"(?i)(\b\d+(\.\d+)?%|\bp\s*[<>=]\s*\d|\bF1\b|\bAUC\b|\baccuracy\b|\b\d+\.\d+\b)"
+FORMULAS = r"(?i)(=|\+|-|\*|/|\^|\\sum|\\alpha|\\beta|\\theta|\\sigma|\\in|\bargmax\b)"
+EDGE_LABELS = ["SHORT_CHUNK_UNDER_150_CHARS", "LONG_DENSE_CHUNK_OVER_1800_CHARS", "DENSE_NUMERICAL_AND_FORMULAS", "QUANTITATIVE_METRICS_AND_PERCENTAGES"]
+VENUE_DOMAINS = {"Healthcare / Oncology": ["health", "medic", "oncol"], "Cybersecurity / Privacy": ["sec", "crypt"], "Finance / Economics": ["fin"]}
+NAME_DOMAINS = {
+    "Security & Privacy": ["privacy", "federated", "security", "attack", "injection", "vulnerability"],
+    "Healthcare & Oncology": ["cancer", "tumor", "clinical", "patient", "medical", "oncology", "pathology"],
+    "Computer Vision": ["vision", "image", "convolutional", "cnn", "radiology"], "Natural Language Processing": ["language", "nlp", "sentiment", "text", "translation"],
+}
+DEFAULT_DOMAIN = "Machine Learning / Optimization"
 MIN_TOKEN, SHORT_CHUNK, LONG_CHUNK, TOKENS_A_WORD = 3, 150, 1800, 1.3
 
 
@@ -91,22 +134,52 @@ def partial_date(year: Column, month: Column, day: Column) -> Column:
     return F.when(year.isNull(), F.lit(None)).when(month.isNull(), y).when(day.isNull(), F.concat_ws("-", y, m)).otherwise(F.concat_ws("-", y, m, d))
 
 
-def document_type(kind: Column, title: Column) -> Column:
-    """cues of the title first (survey, then review), then the source's type."""
-    t, k = F.lower(title), F.lower(kind)
-    return (
-        F.when(t.rlike("survey"), "SURVEY").when(t.rlike("review|overview"), "REVIEW")
-        .when(k.isin("journal-article", "article"), "JOURNAL_ARTICLE").when(k.isin("proceedings-article", "conference"), "CONFERENCE_PAPER")
-        .when(k.isin("posted-content", "preprint"), "PREPRINT").otherwise("OTHER")
-    )
+def publication_dates(source: Column, **raw: Column) -> Column:
+    """struct<published, online, print, issued, year> by the ladder of the record's source. raw: the record's fields as
+    strings (year fields as integers), those that there are: published_online, published_print, issued, created (crossref, as
+    F8 gives them); publication_date, publication_year, created_date (openalex); published (arxiv); publicationDate, year
+    (semantic_scholar). Another source has no dates."""
+    get = lambda name: raw.get(name, F.lit(None))
+    text = lambda x: x.cast("string")
+    whole = lambda x: x.cast("int")
+    online, printed, issued = get("published_online"), get("published_print"), F.coalesce(get("issued"), get("created"))
+    first, day = F.coalesce(online, printed, issued), F.substring_index(get("published"), "T", 1)
+    ladders = {
+        "crossref": (first, online, printed, issued, F.nullif(F.regexp_extract(first, r"^(\d{4})", 1), F.lit(""))),
+        "openalex": (get("publication_date"), get("publication_date"), F.lit(None), get("created_date"), get("publication_year")),
+        "arxiv": (day, day, F.lit(None), F.lit(None), F.nullif(F.regexp_extract(day, r"^(\d{4})", 1), F.lit(""))),
+        "semantic_scholar": (get("publicationDate"), get("publicationDate"), F.lit(None), F.lit(None), get("year")),
+    }
+
+    def by_source(k, cast):
+        out = F.lit(None)
+        for name, own in ladders.items():
+            out = F.when(source == name, cast(own[k])).otherwise(out)
+        return cast(out)
+
+    return F.struct(*[by_source(k, text).alias(n) for k, n in enumerate(("published", "online", "print", "issued"))], by_source(4, whole).alias("year"))
+
+
+def document_type(kind: Column, source: Column, title: Column) -> Column:
+    """cues of the title first (survey, then review), then the source's own types; UNKNOWN if it says nothing."""
+    k = F.lower(F.trim(F.coalesce(kind, F.lit(""))))
+    exact = {name: F.lit("UNKNOWN") for name in ("openalex", "crossref")}
+    for name in exact:
+        for label, own in KINDS[name].items():
+            exact[name] = F.when(k.isin(own), label).otherwise(exact[name])
+    holds = F.lit("RESEARCH_ARTICLE")
+    for label, own in reversed(KINDS["semantic_scholar"].items()):
+        holds = F.when(k.rlike("|".join(own)), label).otherwise(holds)
+    by_source = F.when(source == "arxiv", "RESEARCH_ARTICLE").when(source == "semantic_scholar", holds)
+    by_source = by_source.when(source == "openalex", exact["openalex"]).when(source == "crossref", exact["crossref"]).otherwise("UNKNOWN")
+    t = F.coalesce(title, F.lit(""))
+    return F.when(t.rlike(SURVEY), "SURVEY").when(t.rlike(REVIEW), "REVIEW").otherwise(by_source)
 
 
 def fulltext_status(x: Column) -> Column:
-    """legacy status to the current one; unknown ones pass."""
-    out = x
-    for old, new in STATUS.items():
-        out = F.when(x == old, new).otherwise(out)
-    return out
+    """legacy status, in any case, to the current one; unknown ones pass as they are."""
+    known = F.create_map(*[F.lit(v) for pair in STATUS.items() for v in pair])
+    return F.coalesce(F.element_at(known, F.upper(F.trim(x))), x)
 
 
 def normal_text(x: Column) -> Column:
@@ -116,13 +189,14 @@ def normal_text(x: Column) -> Column:
 
 def entity_name(x: Column) -> Column:
     """bullets and outer punctuation off, known acronyms in upper case, other case kept."""
-    bare = F.trim(F.regexp_replace(squeeze(F.regexp_replace(x, r"^\s*[-*•]+\s*", "")), r"^[\s.,;:!?\"'()]+|[\s.,;:!?\"'()]+$", ""))
+    bare = squeeze(F.regexp_replace(F.trim(x), BULLETS, ""))
+    bare = F.regexp_replace(F.regexp_replace(bare, r"^[\s.,;:!?\"'`(\[{]+", ""), r"[\s.,;:!?\"'`)\]}]+$", "")
     return F.when(F.upper(bare).isin(ACRONYMS), F.upper(bare)).otherwise(bare)
 
 
 def statement_text(x: Column) -> Column:
     """bullets off, white space collapsed, ends with . ! or ?"""
-    bare = squeeze(F.regexp_replace(x, r"^\s*[-*•]+\s*", ""))
+    bare = squeeze(F.regexp_replace(x, BULLETS, ""))
     return F.when(bare.rlike(r"[.!?]$"), bare).otherwise(F.concat(bare, F.lit(".")))
 
 
@@ -154,19 +228,37 @@ def furniture_key(x: Column) -> Column:
 
 
 def section_bucket(title: Column) -> Column:
-    """the first of ABSTRACT, INTRO, METHODS, RESULTS, CONCLUSION whose words the title holds."""
-    t = F.lower(title)
-    return (
-        F.when(t.rlike("abstract|summary"), "ABSTRACT").when(t.rlike("introduction|background|related work"), "INTRO")
-        .when(t.rlike("method|approach|model|architecture"), "METHODS").when(t.rlike("result|experiment|evaluation|analysis"), "RESULTS")
-        .when(t.rlike("conclusion|discussion|limitation|future"), "CONCLUSION").otherwise("OTHER")
-    )
+    """the first bucket whose words the title holds, in any case; OTHER without a title or words."""
+    out = F.lit("OTHER")
+    for name, words in reversed(BUCKETS.items()):
+        out = F.when(title.rlike(f"(?i){words}"), name).otherwise(out)
+    return out
 
 
 def edge_case(x: Column) -> Column:
-    """SHORT, LONG, MATH_AND_METRIC, METRIC or null."""
-    metric, math = x.rlike(r"\d+(\.\d+)?\s*%"), x.rlike(r"[=+*/^]")
-    return F.when(F.length(x) < SHORT_CHUNK, "SHORT").when(F.length(x) > LONG_CHUNK, "LONG").when(metric & math, "MATH_AND_METRIC").when(metric, "METRIC")
+    """why a chunk is a notable one, the first of too short, too long, numbers with formulas, numbers; or null."""
+    bare = F.regexp_replace(x, r"^\s+|\s+$", "")
+    numbers, (short, long, both, some) = bare.rlike(NUMBERS), EDGE_LABELS
+    return F.when(F.length(bare) < SHORT_CHUNK, short).when(F.length(bare) > LONG_CHUNK, long).when(numbers & bare.rlike(FORMULAS), both).when(numbers, some)
+
+
+def entity_template(name: Column, category: Column, description: Column, aliases: Column) -> Column:
+    """the text of an entity that is embedded."""
+    listed = F.array_join(F.coalesce(aliases, F.array().cast("array<string>")), ", ")
+    return F.trim(F.concat(name, F.lit(" ("), F.coalesce(category, F.lit("None")), F.lit("). "), F.coalesce(description, F.lit("")), F.lit(" Aliases: "), listed))
+
+
+def node_domain(domain: Column, venues: Column, name: Column) -> Column:
+    """the given domain, else that of the first venue with a known word, else that of the name's words, else the default."""
+
+    def ladder(x, labels, default):
+        out = default
+        for label, words in reversed(labels.items()):
+            out = F.when(F.lower(x).rlike("|".join(words)), label).otherwise(out)
+        return out
+
+    of_venue = F.transform(venues, lambda v: ladder(v, VENUE_DOMAINS, F.lit(None)))
+    return F.coalesce(F.nullif(domain, F.lit("")), F.get(F.filter(of_venue, lambda v: v.isNotNull()), F.lit(0)), ladder(name, NAME_DOMAINS, F.lit(DEFAULT_DOMAIN)))
 
 
 def word_total(x: Column) -> Column:

@@ -12,11 +12,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.sections import protect, unprotect
+from ..functions.text import furniture_key
 from ..session import ship
 
 # Sizes of chunks, and what a sentence end may follow.
 CUT, OVERSIZED, OVERLAP, MIN_SENTENCE = 1200, 2000, 200, 6
 ABBREVIATIONS = ["et al.", "e.g.", "i.e.", "cf.", "Fig.", "Eq.", "Sec.", "vs.", "Dr.", "etc."]
+BOUNDARY = r"([.?!])\s+(?=[A-Z0-9\"'(\[{])"
+MARGIN, NEAR_MARGIN, PAGE_HEIGHT = 0.08, 15.0, 792.0
+STANDALONE = r"(?i)^(\d+|[ivxlcdm]+)$"
+IMPRINT = r"(?i)(www\.[a-z0-9\-]+\.[a-z]+|issn:\s*\d|paper id:\s*[a-z0-9]+|doi:\s*https?://|copyright\b|all rights reserved)"
 _END = re.compile(r"(?<=[.!?])\s+(?=\S)|\n+")
 
 
@@ -42,29 +48,70 @@ def sentences(text: str | None) -> list[tuple[int, int]]:
     return out
 
 
+def segments(x: Column) -> Column:
+    """The sentences of a paragraph, without Python workers: ends before a capital, a digit, a quote or a bracket, full
+    stops that F19 protects end none, pieces under MIN_SENTENCE characters go; the paragraph itself if none is left."""
+    bare = F.regexp_replace(x, r"^\s+|\s+$", "")
+    parts = F.split(F.regexp_replace(protect(bare), BOUNDARY, "$1\u0001"), "\u0001")
+    parts = F.filter(F.transform(parts, lambda p: unprotect(F.trim(p))), lambda p: F.length(p) >= MIN_SENTENCE)
+    return F.when(bare == "", F.array().cast("array<string>")).when(F.size(parts) > 0, parts).otherwise(F.array(bare))
+
+
+def segment_rows(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """E6 over texts whose paragraphs are lines: key, paragraph, ordinal, sentence."""
+    lines = df.select(key, F.posexplode(F.split(text, r"\n+")).alias("paragraph", "line"))
+    return lines.select(key, "paragraph", F.posexplode(segments(F.col("line"))).alias("ordinal", "sentence"))
+
+
+def running_heads(blocks: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """Blocks (doc, page, text, y0, y1, height) with zone (TOP, BOTTOM or null), key (F20 of the first line) and furniture:
+    its key stands in the zone twice or more in its document, or it is a number or an imprint in a margin."""
+    height = F.coalesce(F.nullif(F.col("height"), F.lit(0.0)), F.lit(PAGE_HEIGHT))
+    low = height * (1 - MARGIN) - NEAR_MARGIN
+    top, bottom = F.col("y0") <= height * MARGIN + NEAR_MARGIN, (F.col("y1") >= low) | (F.col("y0") >= low)
+    first = F.trim(F.get(F.split(F.trim("text"), "\n"), F.lit(0)))
+    own = blocks.withColumn("zone", F.when(top, "TOP").when(bottom, "BOTTOM")).withColumn("key", furniture_key(first))
+    counted = F.col("zone").isNotNull() & (F.col("key") != "")
+    repeats = own.where(counted).groupBy(doc, "zone", "key").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
+    out = own.join(repeats, [doc, "zone", "key"], "left")
+    bare = F.trim("text")
+    alone = F.when(top, bare.rlike(STANDALONE)).when(bottom, bare.rlike(STANDALONE) | bare.rlike(IMPRINT)).otherwise(False)
+    return out.select(*blocks.columns, "zone", "key", (F.col("times").isNotNull() | F.coalesce(alone, F.lit(False))).alias("furniture"))
+
+
+def page_text(tagged: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """doc, page, text of the blocks that are no furniture, in the order of their place on the page."""
+    body = tagged.where(~F.col("furniture")).groupBy(doc, "page").agg(F.array_sort(F.collect_list(F.struct("y0", "y1", "text"))).alias("blocks"))
+    return body.select(doc, "page", F.array_join(F.transform("blocks", lambda b: b["text"]), "\n\n").alias("text"))
+
+
 def paragraph_chunks(text: str | None) -> list[str]:
-    """Paragraphs gathered until CUT characters; longer than OVERSIZED alone: by sentences."""
-    out, now = [], ""
+    """The paragraphs of a section gathered until CUT characters (joints of two count). One of more than OVERSIZED ends
+    the chunk before it and is cut by its sentences into chunks of its own."""
+    out, group, size = [], [], 0
     for part in (p.strip() for p in (text or "").split("\n")):
         if not part:
             continue
-        pieces = [part] if len(part) <= OVERSIZED else _packed([part[a:b] for a, b in sentences(part)])
-        for piece in pieces:
-            if now and len(now) + 2 + len(piece) > CUT:
-                out.append(now)
-                now = ""
-            now = f"{now}\n\n{piece}" if now else piece
-    return [*out, now] if now else out
+        if group and (len(part) > OVERSIZED or size + len(part) > CUT):
+            out.append("\n\n".join(group))
+            group, size = [], 0
+        if len(part) > OVERSIZED:
+            out += _packed([part[a:b] for a, b in sentences(part)])
+        else:
+            group.append(part)
+            size += len(part) + 2
+    return [*out, "\n\n".join(group)] if group else out
 
 
 def _packed(parts: list[str]) -> list[str]:
-    out, now = [], ""
+    out, now, size = [], [], 0
     for part in parts:
-        if now and len(now) + 1 + len(part) > CUT:
-            out.append(now)
-            now = ""
-        now = f"{now} {part}" if now else part
-    return [*out, now] if now else out
+        if now and size + len(part) > CUT:
+            out.append(" ".join(now))
+            now, size = [], 0
+        now.append(part)
+        size += len(part) + 1
+    return [*out, " ".join(now)] if now else out
 
 
 def sentence_chunks(text: str | None) -> list[str]:
@@ -116,7 +163,7 @@ def _spans(text):
 
 
 def chunks(df: DataFrame, strategy: str = "A", key: str = "doc_id", text: str = "text") -> DataFrame:
-    """W11 (A) and W12 (B): key, ordinal, chunk."""
+    """W11 (A) and W12 (B): key, ordinal, chunk. With a row for each section no chunk crosses sections."""
     make = paragraph_chunks if strategy == "A" else sentence_chunks
     return per_text(df, key, text, make, "string").withColumnRenamed("item", "chunk")
 

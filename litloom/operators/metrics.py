@@ -44,3 +44,26 @@ def chunk_stats(df: DataFrame, size: Column, by: list[str]) -> DataFrame:
     own = df.withColumn("_size", size)
     out = own.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("_size"), 1).alias("mean"), F.floor(F.expr("percentile(_size, 0.5)")).cast("long").alias("median"), F.min("_size").alias("least"), F.max("_size").alias("most"), F.count_if(F.col("_size") > 2000).alias("oversized"), F.count_if(F.col("_size") < 150).alias("tiny"))
     return out
+
+
+def manifest(papers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A5: one row of conditional counts of canonical papers, and a histogram (kind, value, n) of document types, sources (a
+    paper's provenance counts each) and years.
+
+    papers: abstract, doi, arxiv_id, authors, references, topics (arrays), venue, published_date, publication_year,
+    citation_count, fulltext_status, fulltext_path, document_type, sources (array)."""
+    filled = lambda name: F.coalesce(F.length(F.col(name).cast("string")) > 0, F.lit(False))
+    some = lambda name: F.coalesce(F.size(F.col(name)) > 0, F.lit(False))
+    counts = {
+        "with_abstracts": F.length("abstract") > 20, "with_doi": filled("doi"), "with_arxiv": filled("arxiv_id"), "with_authors": some("authors"),
+        "with_date": filled("published_date") | F.coalesce(F.col("publication_year") != 0, F.lit(False)), "with_citations": F.col("citation_count").isNotNull(),
+        "with_references": some("references"), "with_venue": filled("venue"), "with_topics": some("topics"),
+        "discoverable": F.col("fulltext_status") == "DISCOVERABLE", "downloaded": (F.col("fulltext_status") == "DOWNLOADED") | filled("fulltext_path"),
+    }
+    row = papers.agg(F.count(F.lit(1)).alias("papers"), *[F.count_if(F.coalesce(x, F.lit(False))).alias(k) for k, x in counts.items()])
+    values = F.concat(
+        F.array(F.struct(F.lit("document_type").alias("kind"), F.coalesce("document_type", F.lit("None")).alias("value"))),
+        F.transform(F.coalesce("sources", F.array().cast("array<string>")), lambda x: F.struct(F.lit("source").alias("kind"), x.alias("value"))),
+        F.when(F.col("publication_year") != 0, F.array(F.struct(F.lit("year").alias("kind"), F.col("publication_year").cast("string").alias("value")))).otherwise(F.array().cast("array<struct<kind:string,value:string>>")),
+    )
+    return row, papers.select(F.explode(values).alias("x")).groupBy("x.kind", "x.value").agg(F.count(F.lit(1)).alias("n"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import audits, selection
+from ..operators import audits, knowledge, selection
 from .catalog import query
 from .scalars import read
 
@@ -88,11 +88,11 @@ def a14(spark, sf_dir):
 
 
 @query("A16_evidence_correctness", """WITH t AS (SELECT p_name, p_type AS span FROM part QUALIFY row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) = 1),
-m AS (SELECT contains(t.span, substr(p.p_type, 1, 4)) OR contains(substr(p.p_type, 1, 4), t.span) AS good FROM part p JOIN t USING (p_name) WHERE t.span <> '')
+m AS (SELECT contains(t.span, split_part(p.p_type, ' ', 1)) OR contains(split_part(p.p_type, ' ', 1), t.span) AS good FROM part p JOIN t USING (p_name) WHERE t.span <> '')
 SELECT count(*) AS n, count(*) FILTER (good) AS correct, round(avg(good::INT), 4) AS rate FROM m""")
 def a16(spark, sf_dir):
     parts = read(spark, sf_dir, "part")
-    return audits.evidence_correctness(parts.select("p_name", F.substring("p_type", 1, 4).alias("span")), parts.select("p_name", c("p_type").alias("span"), c("p_partkey").alias("ord")), ["p_name"])
+    return audits.evidence_correctness(parts.select("p_name", F.substring_index("p_type", " ", 1).alias("span")), parts.select("p_name", c("p_type").alias("span"), c("p_partkey").alias("ord")), ["p_name"])
 
 
 @query("A19_reconciliation", "SELECT CASE WHEN quality IS NULL THEN 'MISSING' WHEN quality = (n_chars > 300)::INT THEN 'AGREED' ELSE 'DISPUTED' END AS outcome, count(*) AS n FROM documents LEFT JOIN labels USING (doc_id) GROUP BY ALL")
@@ -127,7 +127,7 @@ def part_of(x):
 
 
 FIELD = f"""SELECT conv_id, turn, round((0.55 * {part_of('text')} + CASE WHEN length(trim(t)) > 10 THEN 0.30 * {part_of('t')} ELSE 0 END) / (0.55 + CASE WHEN length(trim(t)) > 10 THEN 0.30 ELSE 0 END), 4) AS score
-FROM (SELECT *, CASE WHEN role = 'user' THEN lower(substr(text, 20)) ELSE '' END AS t FROM conversations)"""
+FROM (SELECT *, CASE WHEN role = 'user' THEN lower(concat(role, ' ', text)) ELSE '' END AS t FROM conversations)"""
 
 
 @query("W5_candidates", f"SELECT conv_id, turn, score, rank FROM (SELECT *, row_number() OVER (ORDER BY score DESC, conv_id, turn) AS rank FROM ({FIELD}) WHERE score >= 0.05) WHERE rank <= 25")
@@ -136,7 +136,7 @@ def w5(spark, sf_dir):
         clean = F.regexp_replace(F.lower(x), r"[^\p{L}\p{N}_\s-]", " ")
         return F.array_distinct(F.filter(F.split(clean, r"\s+"), lambda w: F.length(w) > 2))
 
-    rows = read(spark, sf_dir, "conversations").withColumn("more", F.when(c("role") == "user", F.lower(F.expr("substr(text, 20)"))).otherwise(""))
+    rows = read(spark, sf_dir, "conversations").withColumn("more", F.when(c("role") == "user", F.lower(F.concat_ws(" ", "role", "text"))).otherwise(""))
     asked = words(F.lit(ASKED))
     parts = {"title": (F.lit(True), T.coverage(asked, words(c("text")))), "abstract": (F.length(F.trim("more")) > 10, T.coverage(asked, words(c("more"))))}
     top = rows.select("conv_id", "turn", selection.field_score(parts).alias("score")).where("score >= 0.05").orderBy(F.desc("score"), "conv_id", "turn").limit(25)
@@ -151,7 +151,7 @@ def w7(spark, sf_dir):
 
 @query("W9_quarantine_recent", "SELECT event_id, user_id FROM events WHERE event_type = 'error' OR value < 0 ORDER BY ts DESC, event_id")
 def w9(spark, sf_dir):
-    return read(spark, sf_dir, "events").where("event_type = 'error' or value < 0").orderBy(F.desc("ts"), "event_id").select("event_id", "user_id")
+    return knowledge.quarantine_log(read(spark, sf_dir, "events").where("event_type = 'error' or value < 0"), at="ts", id="event_id").select("event_id", "user_id")
 
 
 BUCKET = "element_at(array('ABSTRACT', 'INTRO_BACKGROUND', 'METHODS', 'RESULTS', 'CONCLUSION_LIMITATIONS', 'OTHER'), int(doc_id % 6) + 1)"

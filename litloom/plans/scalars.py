@@ -46,13 +46,30 @@ scalar("F5_doi", "part", "p_partkey", lambda: T.doi(F.expr(DOI)), "concat('10.',
 scalar("F6_arxiv_id", "part", "p_partkey", lambda: T.arxiv_id(F.expr("concat('arXiv:', lpad(string(p_partkey % 10000), 4, '0'), '.', lpad(string(p_size), if(p_size % 2 = 0, 5, 3), '0'), 'v', p_size)")), "CASE WHEN p_size % 2 = 0 THEN concat(lpad((p_partkey % 10000)::VARCHAR, 4, '0'), '.', lpad(p_size::VARCHAR, 5, '0')) END")
 scalar("F7_orcid", "customer", "c_custkey", lambda: T.orcid(F.expr("concat('https://orcid.org/0000-0002-', lpad(string(c_custkey % 10000), 4, '0'), if(c_custkey % 7 = 0, '-12', '-123x'))")), "CASE WHEN c_custkey % 7 <> 0 THEN concat('0000-0002-', lpad((c_custkey % 10000)::VARCHAR, 4, '0'), '-123X') END")
 scalar("F8_partial_date", "orders", "o_orderkey", lambda: T.partial_date(F.year("o_orderdate"), F.expr("if(o_orderkey % 3 > 0, month(o_orderdate), null)"), F.expr("if(o_orderkey % 3 > 1, day(o_orderdate), null)")), "CASE o_orderkey % 3 WHEN 0 THEN strftime(o_orderdate, '%Y') WHEN 1 THEN strftime(o_orderdate, '%Y-%m') ELSE strftime(o_orderdate, '%Y-%m-%d') END")
-scalar("F9_publication_date", "orders", "o_orderkey", lambda: F.coalesce(F.expr("if(o_orderkey % 2 = 0, date_format(o_orderdate, 'yyyy-MM-dd'), null)"), F.expr("if(o_orderkey % 3 = 0, date_format(o_orderdate, 'yyyy-MM'), null)"), F.date_format("o_orderdate", "yyyy")), "coalesce(CASE WHEN o_orderkey % 2 = 0 THEN strftime(o_orderdate, '%Y-%m-%d') END, CASE WHEN o_orderkey % 3 = 0 THEN strftime(o_orderdate, '%Y-%m') END, strftime(o_orderdate, '%Y'))")
-KIND = "CASE p_size % 4 WHEN 0 THEN 'journal-article' WHEN 1 THEN 'Preprint' WHEN 2 THEN 'conference' ELSE 'dataset' END"
-TITLE = "CASE p_size % 5 WHEN 0 THEN concat('A Survey of ', p_name) WHEN 1 THEN concat('An Overview: ', p_name) ELSE p_name END"
-scalar("F10_document_type", "part", "p_partkey", lambda: T.document_type(F.expr(KIND), F.expr(TITLE)), "CASE WHEN p_size % 5 = 0 THEN 'SURVEY' WHEN p_size % 5 = 1 THEN 'REVIEW' ELSE CASE p_size % 4 WHEN 0 THEN 'JOURNAL_ARTICLE' WHEN 1 THEN 'PREPRINT' WHEN 2 THEN 'CONFERENCE_PAPER' ELSE 'OTHER' END END")
-scalar("F11_fulltext_status", "orders", "o_orderkey", lambda: T.fulltext_status(F.expr("element_at(array('open', 'closed', 'missing', 'AVAILABLE'), int(o_orderkey % 4) + 1)")), "['AVAILABLE', 'UNAVAILABLE', 'NOT_FOUND', 'AVAILABLE'][o_orderkey % 4 + 1]")
+DAY, OF = "date_format(o_orderdate, 'yyyy-MM-dd')", "element_at(array('crossref', 'openalex', 'arxiv', 'semantic_scholar', 'other'), int(o_orderkey % 5) + 1)"
+RAW = {
+    "published_online": f"if(o_custkey % 2 = 0, {DAY}, null)", "published_print": "if(o_custkey % 3 = 0, date_format(o_orderdate, 'yyyy-MM'), null)", "issued": "if(o_custkey % 5 = 0, date_format(o_orderdate, 'yyyy'), null)",
+    "created": f"if(o_custkey % 7 > 0, {DAY}, null)", "publication_date": DAY, "publication_year": "year(o_orderdate)", "published": f"concat({DAY}, 'T10:00:00Z')", "publicationDate": DAY, "year": "year(o_orderdate)",
+}
+scalar(
+    "F9_publication_date", "orders", "o_orderkey", lambda: F.to_json(T.publication_dates(F.expr(OF), **{k: F.expr(v) for k, v in RAW.items()})),
+    """CASE WHEN o_orderkey % 5 = 4 THEN '{}' WHEN o_orderkey % 5 > 0 THEN concat('{"published":"', strftime(o_orderdate, '%Y-%m-%d'), '","online":"', strftime(o_orderdate, '%Y-%m-%d'), '","year":', year(o_orderdate), '}')
+    WHEN o_custkey % 2 > 0 AND o_custkey % 3 > 0 AND o_custkey % 5 > 0 AND o_custkey % 7 = 0 THEN '{}'
+    ELSE concat('{"published":"', CASE WHEN o_custkey % 2 = 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN o_custkey % 3 = 0 THEN strftime(o_orderdate, '%Y-%m') WHEN o_custkey % 5 = 0 THEN strftime(o_orderdate, '%Y') ELSE strftime(o_orderdate, '%Y-%m-%d') END, '"',
+      CASE WHEN o_custkey % 2 = 0 THEN concat(',"online":"', strftime(o_orderdate, '%Y-%m-%d'), '"') ELSE '' END, CASE WHEN o_custkey % 3 = 0 THEN concat(',"print":"', strftime(o_orderdate, '%Y-%m'), '"') ELSE '' END,
+      CASE WHEN o_custkey % 5 = 0 THEN concat(',"issued":"', strftime(o_orderdate, '%Y'), '"') WHEN o_custkey % 7 > 0 THEN concat(',"issued":"', strftime(o_orderdate, '%Y-%m-%d'), '"') ELSE '' END, ',"year":', year(o_orderdate), '}') END""",
+)
+KIND = "element_at(array('journal-article', 'Conference-Paper', ' proceedings', 'edited-book', 'review', 'letter', 'journal', 'dataset', 'unheard-of', null), int(p_partkey % 10) + 1)"
+FROM = "element_at(array('openalex', 'crossref', 'semantic_scholar', 'arxiv', 'own'), int(p_size % 5) + 1)"
+LABELS = """CASE p_size % 5 WHEN 0 THEN ['RESEARCH_ARTICLE', 'CONFERENCE_PAPER', 'CONFERENCE_PAPER', 'BOOK_CHAPTER', 'REVIEW', 'EDITORIAL', 'UNKNOWN', 'OTHER', 'UNKNOWN', 'UNKNOWN'][p_partkey % 10 + 1]
+  WHEN 1 THEN ['RESEARCH_ARTICLE', 'UNKNOWN', 'CONFERENCE_PAPER', 'BOOK_CHAPTER', 'UNKNOWN', 'EDITORIAL', 'FRONT_MATTER', 'OTHER', 'UNKNOWN', 'UNKNOWN'][p_partkey % 10 + 1]
+  WHEN 2 THEN ['RESEARCH_ARTICLE', 'CONFERENCE_PAPER', 'CONFERENCE_PAPER', 'BOOK_CHAPTER', 'REVIEW', 'RESEARCH_ARTICLE', 'RESEARCH_ARTICLE', 'RESEARCH_ARTICLE', 'RESEARCH_ARTICLE', 'RESEARCH_ARTICLE'][p_partkey % 10 + 1]
+  WHEN 3 THEN 'RESEARCH_ARTICLE' ELSE 'UNKNOWN' END"""
+TITLE = "CASE p_partkey % 7 WHEN 0 THEN concat('A Survey of ', p_name) WHEN 1 THEN concat('Surveying ', p_name) WHEN 2 THEN concat('A Systematic literature Review: ', p_name) ELSE p_name END"
+scalar("F10_document_type", "part", "p_partkey", lambda: T.document_type(F.expr(KIND), F.expr(FROM), F.expr(TITLE)), f"CASE p_partkey % 7 WHEN 0 THEN 'SURVEY' WHEN 2 THEN 'REVIEW' ELSE {LABELS} END")
+scalar("F11_fulltext_status", "orders", "o_orderkey", lambda: T.fulltext_status(F.expr("element_at(array('available', ' Fetch_Queued', 'FETCHING', 'FULLTEXT_DOWNLOADED', 'unavailable ', 'not_checked', 'FETCH_FAILED', 'Embargoed'), int(o_custkey % 8) + 1)")), "['DISCOVERABLE', 'QUEUED', 'DOWNLOADING', 'DOWNLOADED', 'UNAVAILABLE', 'NOT_CHECKED', 'FAILED', 'Embargoed'][o_custkey % 8 + 1]")
 scalar("F12_normal_text", "documents", "doc_id", lambda: T.normal_text(c("text")), r"lower(trim(regexp_replace(" + SQUEEZE.format("text") + r", '^[^\p{L}\p{N}_]|[^\p{L}\p{N}_]$', '', 'g')))")
-scalar("F13_entity_name", "part", "p_partkey", lambda: T.entity_name(F.expr("if(p_size % 6 = 0, ' * (gpu). ', concat('- \"', p_name, '\";'))")), "CASE WHEN p_size % 6 = 0 THEN 'GPU' ELSE p_name END")
+scalar("F13_entity_name", "part", "p_partkey", lambda: T.entity_name(F.expr("element_at(array(' * \"gpu\". ', concat('2) \"', p_name, '\";'), concat('(a) [', p_name, ']'), '- nsl-kdd', 'Transformer'), int(p_size % 5) + 1)")), "['GPU', p_name, p_name, 'NSL-KDD', 'Transformer'][p_size % 5 + 1]")
 scalar("F14_statement_text", "documents", "doc_id", lambda: T.statement_text(c("text")), "CASE WHEN regexp_matches(" + SQUEEZE.format("text") + ", '[.!?]$') THEN " + SQUEEZE.format("text") + " ELSE concat(" + SQUEEZE.format("text") + ", '.') END")
 AT = "coalesce(nullif(position('THE' IN text), 0), nullif(position('the' IN lower(text)), 0), 0)"
 scalar("F15_evidence_span", "documents", "doc_id", lambda: F.to_json(T.evidence_span(c("text"), F.lit("THE"))), f"""CASE WHEN {AT} > 0 THEN concat('{{"start":', {AT} - 1, ',"end":', {AT} + 2, '}}') END""")
@@ -60,14 +77,19 @@ scalar("F16_tokens", "documents", "doc_id", lambda: F.array_join(T.tokens(c("tex
 scalar("F17_token_set", "benchmark", "item_id", lambda: F.array_join(F.array_sort(T.token_set(c("text"))), " "), f"array_to_string(list_sort(list_distinct({tokens_sql('text', chr(39) * 2)})), ' ')")
 scalar("F18_paragraph", "documents", "doc_id", lambda: T.paragraph(c("text")), SQUEEZE.format(r"regexp_replace(text, '(\p{L})-\n\s*(\p{Ll})', '\1\2', 'g')"))
 scalar("F20_furniture_key", "customer", "c_custkey", lambda: T.furniture_key(F.expr("concat('Page ', c_custkey, ' of 99 - ', c_name)")), r"lower(trim(regexp_replace(concat('Page ', c_custkey, ' of 99 - ', c_name), '\b\d+\b', '#', 'g')))")
-scalar("F21_section_bucket", "orders", "o_orderkey", lambda: T.section_bucket(F.expr("element_at(array('Abstract', '1 Introduction', 'Our Approach', 'Evaluation', 'Future work', 'Annex'), int(o_orderkey % 6) + 1)")), "['ABSTRACT', 'INTRO', 'METHODS', 'RESULTS', 'CONCLUSION', 'OTHER'][o_orderkey % 6 + 1]")
-scalar("F22_edge_case", "documents", "doc_id", lambda: T.edge_case(c("text")), r"CASE WHEN length(text) < 150 THEN 'SHORT' WHEN length(text) > 1800 THEN 'LONG' WHEN regexp_matches(text, '\d+(\.\d+)?\s*%') AND regexp_matches(text, '[=+*/^]') THEN 'MATH_AND_METRIC' WHEN regexp_matches(text, '\d+(\.\d+)?\s*%') THEN 'METRIC' END")
+scalar("F21_section_bucket", "orders", "o_orderkey", lambda: T.section_bucket(F.expr("element_at(array('ABSTRACT', '1 Introduction', 'Related  Work', 'Our Framework', 'Empirical findings', 'Threats to validity', 'Annex', null), int(o_custkey % 8) + 1)")), "['ABSTRACT', 'INTRO_BACKGROUND', 'INTRO_BACKGROUND', 'METHODS', 'RESULTS', 'CONCLUSION_LIMITATIONS', 'OTHER', 'OTHER'][o_custkey % 8 + 1]")
+BARE = r"regexp_replace(text, '^\s+|\s+$', '', 'g')"
+SOME = r"regexp_matches(text, '(?i)(\b\d+(\.\d+)?%|\bp\s*[<>=]\s*\d|\bF1\b|\bAUC\b|\baccuracy\b|\b\d+\.\d+\b)')"
+scalar("F22_edge_case", "documents", "doc_id", lambda: T.edge_case(c("text")), rf"CASE WHEN length({BARE}) < 150 THEN 'SHORT_CHUNK_UNDER_150_CHARS' WHEN length({BARE}) > 1800 THEN 'LONG_DENSE_CHUNK_OVER_1800_CHARS' WHEN {SOME} AND regexp_matches({BARE}, '(?i)([=+*/^-]|\\(sum|alpha|beta|theta|sigma|in)|\bargmax\b)') THEN 'DENSE_NUMERICAL_AND_FORMULAS' WHEN {SOME} THEN 'QUANTITATIVE_METRICS_AND_PERCENTAGES' END")
 scalar("F23_token_estimate", "documents", "doc_id", lambda: T.token_estimate(c("text")), r"floor(len(regexp_extract_all(text, '\S+')) * 13 / 10)::BIGINT")
 scalar("F26_corruption", "documents", "doc_id", lambda: T.corruption(c("text")), r"(length(text) - length(regexp_replace(text, '[\x{FFFD}\x00-\x08\x0B\x0C\x0E-\x1F]', '', 'g')))::BIGINT")
 scalar("F31_hedged", "documents", "doc_id", lambda: T.hedged(c("text")), "regexp_matches(concat(' ', lower(text), ' '), ' (" + "|".join(T.HEDGES) + ") ')")
 scalar("F27_unit_norm", "embeddings", "vec_id", lambda: F.round(V.norm(V.unit(c("embedding"))), 6), "CASE WHEN list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]) = 0 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END")
-scalar("F28_entity_template", "part", "p_partkey", lambda: F.concat(c("p_name"), F.lit(" ("), c("p_type"), F.lit("). "), F.lit("Aliases: "), F.array_join(F.array("p_brand", "p_type"), ", ")), "concat(p_name, ' (', p_type, '). Aliases: ', p_brand, ', ', p_type)")
-scalar("F29_node_domain", "part", "p_partkey", lambda: F.when(F.lower("p_type").contains("steel"), "METALS").when(F.lower("p_name").contains("a"), "GENERAL").otherwise("OTHER"), "CASE WHEN contains(lower(p_type), 'steel') THEN 'METALS' WHEN contains(lower(p_name), 'a') THEN 'GENERAL' ELSE 'OTHER' END")
+scalar("F28_entity_template", "part", "p_partkey", lambda: T.entity_template(c("p_name"), F.expr("if(p_size % 4 = 0, null, p_type)"), F.expr("if(p_size % 3 = 0, p_brand, null)"), F.expr("if(p_size % 2 = 0, array(p_brand, p_type), null)")), "trim(concat(p_name, ' (', CASE WHEN p_size % 4 = 0 THEN 'None' ELSE p_type END, '). ', CASE WHEN p_size % 3 = 0 THEN p_brand ELSE '' END, ' Aliases: ', CASE WHEN p_size % 2 = 0 THEN concat(p_brand, ', ', p_type) ELSE '' END))")
+VENUES = "element_at(array(array('Nature', 'J. Medical AI'), array('Trans. on Security'), array('Finance Letters', 'Health'), array('Nature'), null), int(p_size % 5) + 1)"
+NAME = "element_at(array('Federated learning', 'Tumor grading', 'CNN backbone', 'Machine Translation', 'Adam', 'x'), int(p_partkey % 6) + 1)"
+scalar("F29_node_domain", "part", "p_partkey", lambda: T.node_domain(F.expr("if(p_partkey % 11 = 0, 'Physics', if(p_partkey % 11 = 1, '', null))"), F.expr(VENUES), F.expr(NAME)), """CASE WHEN p_partkey % 11 = 0 THEN 'Physics' WHEN p_size % 5 = 0 THEN 'Healthcare / Oncology' WHEN p_size % 5 = 1 THEN 'Cybersecurity / Privacy' WHEN p_size % 5 = 2 THEN 'Finance / Economics'
+  ELSE ['Security & Privacy', 'Healthcare & Oncology', 'Computer Vision', 'Natural Language Processing', 'Machine Learning / Optimization', 'Machine Learning / Optimization'][p_partkey % 6 + 1] END""")
 scalar("ID_canonical", "part", "p_partkey", lambda: T.short_id("pp_doi_", F.expr(DOI)), f"concat('pp_doi_', substr(sha256({DOI}), 1, 12))")
 scalar("ID_text_hash", "documents", "doc_id", lambda: F.sha2(F.trim("text"), 256), "sha256(trim(text))")
 
