@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..session import ship
+from ..storage import spread
 
 #: The characters of [\x20\x09-\x0D].
 BLANKS = " \t\n\x0b\x0c\r"
@@ -43,7 +44,7 @@ def settle(df: DataFrame, what: str) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def map_columns(df: DataFrame, schema: str, make, *args) -> DataFrame:
