@@ -22,7 +22,7 @@ INSTRUCTIONS = {"bge-small-en-v1.5": "Represent this sentence for searching rele
 
 def grams(text: Column) -> Column:
     """Words of two letters or more, lower case and without accents, and pairs of neighbours."""
-    words = F.filter(F.split(F.regexp_replace(F.lower(strip_accents(F.coalesce(text, F.lit("")))), r"[^\\p{L}\\p{N}_]+", " "), " "), lambda w: F.length(w) > 1)
+    words = F.filter(F.split(F.regexp_replace(F.lower(strip_accents(F.coalesce(text, F.lit("")))), r"[^\p{L}\p{N}_]+", " "), " "), lambda w: F.length(w) > 1)
     pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - 1, F.lit(1))), lambda i: F.concat_ws(" ", F.try_element_at(words, i), F.try_element_at(words, i + 1)))
     return F.when(F.size(words) > 1, F.concat(words, pairs)).otherwise(words)
 

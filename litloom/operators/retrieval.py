@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 from ..functions.vectors import inner, norm
+from ..storage import cut
 
 K1, B, RRF = 1.5, 0.75, 60
+#: Queries of a block of vectors.
+BLOCK = 500
 
 
 def postings(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
@@ -25,14 +28,17 @@ def query_terms(queries: DataFrame, text: str = "text", id: str = "qid") -> Data
 def bm25(docs: DataFrame, queries: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
     """qid, id, score of every document that has a term of the query.
 
-    Only the queries' terms leave the scan: documents keep the tokens that some query asks for. The term list is
-    joined, so Spark broadcasts it only where it is small.
+    A text is tokenised once: its tokens meet the asked terms (a join, so Spark broadcasts them where they are few), and
+    all it has besides becomes one row of its own, which counts it and its size. These rows are settled; corpus size and
+    mean, document frequencies and scores start from them.
     """
-    asked = query_terms(queries)
-    sized = docs.select(F.col(id).alias("id"), tokens(F.col(text)).alias("terms")).withColumn("size", F.size("terms"))
-    hits = sized.select("id", "size", F.explode("terms").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
-    tf = hits.groupBy("term", "id", "size").agg(F.count(F.lit(1)).alias("tf"))
-    corpus = sized.agg(F.count(F.lit(1)).alias("n"), F.avg("size").alias("mean"))
+    asked = cut(query_terms(queries))
+    words = asked.select("term", F.col("term").alias("hit")).distinct()
+    own = docs.select(F.col(id).alias("id"), tokens(F.col(text)).alias("terms")).withColumn("size", F.size("terms"))
+    own = own.select("id", "size", F.explode(F.concat("terms", F.array(F.lit("")))).alias("term"))  # "" is no token
+    counted = cut(own.join(words, "term", "left").groupBy("id", "size", F.col("hit").alias("term")).agg(F.count(F.lit(1)).alias("tf")))
+    tf = counted.where("term is not null")
+    corpus = counted.where("term is null").agg(F.count(F.lit(1)).alias("n"), F.avg("size").alias("mean"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     weights = asked.join(df, "term").join(F.broadcast(corpus))  # one row
     idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1), F.lit(0.0))
@@ -50,13 +56,23 @@ def top_k(scores: DataFrame, k: int, by: str = "qid") -> DataFrame:
 def dense(docs: DataFrame, queries: DataFrame) -> DataFrame:
     """qid, id, score: cosine of each query with each vector. docs: id, vector; queries: qid, vector.
 
-    The stated query set against all rows: queries are packed in blocks, each vector meets a block as one row.
+    The stated query set against all rows, in blocks: BLOCK queries at a time are one broadcast row, each vector meets it
+    once. Any number of queries is answered; the blocks' results are united.
     """
-    block = queries.groupBy((F.pmod(F.xxhash64("qid"), F.lit(16))).alias("block")).agg(F.collect_list(F.struct("qid", "vector")).alias("asked"))
-    met = docs.join(F.broadcast(block) if queries.count() <= 1000 else block.hint("shuffle_replicate_nl"))
-    n = norm(F.col("vector"))
-    cosine = F.transform("asked", lambda q: F.struct(q["qid"].alias("qid"), (inner(F.col("vector"), q["vector"]) / F.when(n == 0, 1.0).otherwise(n) / F.when(norm(q["vector"]) == 0, 1.0).otherwise(norm(q["vector"]))).alias("score")))
-    return met.select("id", F.explode(cosine).alias("hit")).select("hit.qid", "id", "hit.score")
+    unit = lambda x: F.transform(x, lambda v: v / F.when(norm(x) == 0, 1.0).otherwise(norm(x)))
+    own = queries.select("qid", unit(F.col("vector").cast("array<double>")).alias("vector"))
+    n = own.count()
+    blocks = -(-n // BLOCK) or 1
+    part = F.pmod(F.xxhash64("qid"), F.lit(blocks))
+    out = None
+    for k in range(blocks):
+        block = own.where(part == k).agg(F.collect_list(F.struct("qid", "vector")).alias("asked"))
+        length = norm(F.col("vector"))
+        cosine = F.transform("asked", lambda q: F.struct(q["qid"].alias("qid"), (inner(F.col("vector"), q["vector"]) / F.when(F.col("length") == 0, 1.0).otherwise(F.col("length"))).alias("score")))
+        met = docs.select("id", "vector", length.alias("length")).join(F.broadcast(block))
+        met = met.select("id", F.explode(cosine).alias("hit")).select("hit.qid", "id", "hit.score")
+        out = met if out is None else out.unionByName(met)
+    return out
 
 
 def fuse(*ranked: DataFrame, k: int) -> DataFrame:
@@ -73,7 +89,8 @@ def overlap(a: DataFrame, b: DataFrame) -> DataFrame:
         return x.groupBy("qid").agg(F.collect_set("id").alias(name))
 
     both = sets(a, "x").join(sets(b, "y"), "qid", "full")
-    x, y = (F.coalesce(F.col(c), F.array().cast("array<bigint>")) for c in "xy")
+    none = F.filter(F.coalesce("x", "y"), lambda _: F.lit(False))
+    x, y = (F.coalesce(F.col(c), none) for c in "xy")
     return both.select("qid", F.round(F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y)), 6).alias("jaccard"))
 
 

@@ -9,7 +9,7 @@ from ..functions import text as T
 from ..operators import documents, graphs, knowledge, linkage, metrics, retrieval
 from ..storage import cut
 from .catalog import query
-from .scalars import LIST, read, tokens_sql
+from .scalars import LIST, read, tokens_sql, whole_texts
 
 c = F.col
 ASK = "SELECT item_id AS qid, text FROM benchmark"
@@ -33,7 +33,7 @@ RANK = "row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id)"
 
 
 def lexical(spark, sf_dir, k):
-    return retrieval.top_k(retrieval.bm25(read(spark, sf_dir, "documents"), asked(spark, sf_dir)), k)
+    return retrieval.top_k(retrieval.bm25(whole_texts(spark, sf_dir), asked(spark, sf_dir)), k)
 
 
 @query("W1_bm25_topk", f"WITH {BM25} SELECT qid, id, rank, round(score, 4) AS score FROM (SELECT *, {RANK} AS rank FROM scores) WHERE rank <= 10")
@@ -43,12 +43,12 @@ def w1(spark, sf_dir):
 
 @query("J12_A13_bm25_scores", f"WITH {BM25} SELECT qid, count(*) AS hits, round(sum(score), 3) AS total FROM scores GROUP BY qid")
 def j12(spark, sf_dir):
-    return retrieval.bm25(read(spark, sf_dir, "documents"), asked(spark, sf_dir)).groupBy("qid").agg(F.count(F.lit(1)).alias("hits"), F.round(F.sum("score"), 3).alias("total"))
+    return retrieval.bm25(whole_texts(spark, sf_dir), asked(spark, sf_dir)).groupBy("qid").agg(F.count(F.lit(1)).alias("hits"), F.round(F.sum("score"), 3).alias("total"))
 
 
 @query("A12_term_statistics", f"SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM (SELECT id, term, count(*) AS tf FROM (SELECT doc_id AS id, unnest({tokens_sql('text')}) AS term FROM documents) GROUP BY ALL) GROUP BY term")
 def a12(spark, sf_dir):
-    return retrieval.postings(read(spark, sf_dir, "documents")).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").cast("long").alias("cf"))
+    return retrieval.postings(whole_texts(spark, sf_dir)).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").cast("long").alias("cf"))
 
 
 VECTORS = "v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e, label FROM embeddings), near AS (SELECT a.id AS qid, b.id, round(list_cosine_similarity(a.e, b.e), 9) AS score, a.label = b.label AS hit FROM v a JOIN v b ON a.id % 50 = 0)"
@@ -73,7 +73,7 @@ b AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY id) AS r FROM
 f AS (SELECT qid, id, round(sum(1.0 / (60 + r)), 5) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY qid, id)
 SELECT qid, id, score, {RANK} AS rank FROM f QUALIFY rank <= 10""")
 def w3(spark, sf_dir):
-    scores = retrieval.bm25(read(spark, sf_dir, "documents"), asked(spark, sf_dir))
+    scores = retrieval.bm25(whole_texts(spark, sf_dir), asked(spark, sf_dir))
     by_id = retrieval.top_k(scores.withColumn("score", F.lit(0.0)), 20)
     return retrieval.fuse(retrieval.top_k(scores, 20), by_id, k=10).select("qid", "id", "score", "rank")
 
@@ -82,7 +82,7 @@ def w3(spark, sf_dir):
 b AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY id) AS r FROM scores QUALIFY r <= 10)
 SELECT qid, round(count(*) FILTER (n = 2) / count(*), 6) AS jaccard FROM (SELECT qid, id, count(*) AS n FROM (SELECT qid, id FROM a UNION ALL SELECT qid, id FROM b) GROUP BY ALL) GROUP BY qid""")
 def w4(spark, sf_dir):
-    scores = retrieval.bm25(read(spark, sf_dir, "documents"), asked(spark, sf_dir))
+    scores = retrieval.bm25(whole_texts(spark, sf_dir), asked(spark, sf_dir))
     return retrieval.overlap(retrieval.top_k(scores, 10), retrieval.top_k(scores.withColumn("score", F.lit(0.0)), 10))
 
 
@@ -107,7 +107,7 @@ KEY = r"trim(regexp_replace(regexp_replace(replace(lower(strip_accents(text)), '
 g AS (SELECT id, min(id) OVER (PARTITION BY t) AS a FROM k)
 SELECT id, a AS component FROM g""")
 def j6(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").select(c("doc_id").alias("id"), F.sha2(T.title_key(c("text")), 256).alias("k"))
+    docs = cut(whole_texts(spark, sf_dir).select(c("doc_id").alias("id"), F.sha2(T.title_key(c("text")), 256).alias("k")))
     return linkage.components(docs, linkage.match_edges(docs, ["k"]), cut)
 
 
@@ -356,7 +356,7 @@ def w16(spark, sf_dir):
 
 @query("E6_segments")
 def e6_segments(spark, sf_dir):
-    return documents.segment_rows(read(spark, sf_dir, "documents"))
+    return documents.segment_rows(whole_texts(spark, sf_dir))
 
 
 EDGES = "e AS (SELECT concat('c', c_custkey) AS src, concat('n', c_nationkey) AS dst FROM customer UNION SELECT concat('s', s_suppkey), concat('n', s_nationkey) FROM supplier UNION SELECT concat('n', n_nationkey), concat('r', n_regionkey) FROM nation)"

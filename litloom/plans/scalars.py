@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vectors as V
+from ..storage import spread
 from .catalog import query
 
 LIST = ", ".join(f"'{w}'" for w in T.STOPWORDS)
@@ -16,6 +17,11 @@ def read(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def whole_texts(spark, sf_dir):
+    """documents for work that is heavy on each text."""
+    return spread(read(spark, sf_dir, "documents"))
+
+
 def scalar(name, table, key, make, sql, column="value"):
     """A query key, value over all rows of a table."""
 

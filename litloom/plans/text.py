@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import documents, extraction
 from ..sources import readers
 from .catalog import query
-from .scalars import read
+from .scalars import read, whole_texts
 
 c = F.col
 LEXICON = {"LICENSE": ["License", "Apache License", "MIT License"], "LINK": ["the", "of the"]}
@@ -15,22 +15,22 @@ LEXICON = {"LICENSE": ["License", "Apache License", "MIT License"], "LINK": ["th
 
 @query("W11_chunks_a")
 def w11(spark, sf_dir):
-    return documents.chunks(read(spark, sf_dir, "documents"), "A").select("doc_id", "ordinal", F.length("chunk").alias("size"), F.sha2("chunk", 256).alias("hash"))
+    return documents.chunks(whole_texts(spark, sf_dir), "A").select("doc_id", "ordinal", F.length("chunk").alias("size"), F.sha2("chunk", 256).alias("hash"))
 
 
 @query("W12_chunks_b")
 def w12(spark, sf_dir):
-    return documents.chunks(read(spark, sf_dir, "documents"), "B").select("doc_id", "ordinal", F.length("chunk").alias("size"), F.sha2("chunk", 256).alias("hash"))
+    return documents.chunks(whole_texts(spark, sf_dir), "B").select("doc_id", "ordinal", F.length("chunk").alias("size"), F.sha2("chunk", 256).alias("hash"))
 
 
 @query("E6_sentences")
 def e6(spark, sf_dir):
-    return documents.sentence_rows(read(spark, sf_dir, "documents"))
+    return documents.sentence_rows(whole_texts(spark, sf_dir))
 
 
 @query("E1_W18_entities")
 def e1(spark, sf_dir):
-    return extraction.entities(read(spark, sf_dir, "documents"), LEXICON)
+    return extraction.entities(whole_texts(spark, sf_dir), LEXICON)
 
 
 CUES = " ".join(f"WHEN regexp_matches(lower(line), '{cue}') THEN '{kind}'" for kind, cue in extraction.STATEMENTS)

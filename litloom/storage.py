@@ -19,3 +19,11 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{folder.rstrip('/')}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(table: DataFrame) -> DataFrame:
+    """A table just read, dealt out evenly where it has fewer partitions than there are cores (one small file with one row
+    group): heavy work on each row would keep a few cores busy only. Larger tables pass as they are, without a shuffle.
+    Not for results of joins and aggregations: asking for their partitions would compute them."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
