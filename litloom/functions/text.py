@@ -206,10 +206,18 @@ def evidence_span(text: Column, surface: Column) -> Column:
     return F.when(at.isNotNull() & (F.length(surface) > 0), F.struct((at - 1).alias("start"), (at - 1 + F.length(surface)).alias("end")))
 
 
+def words_of(x: Column) -> Column:
+    """Lower-case runs of letters, digits, _ and -; an empty one where there is none."""
+    return F.split(F.trim(F.regexp_replace(F.lower(F.coalesce(x, F.lit(""))), r"[^\p{L}\p{N}_\s-]+", " ")), r"\s+")
+
+
+def is_token(w: Column, stopwords: list[str] = STOPWORDS) -> Column:
+    return (F.length(w) >= MIN_TOKEN) & ~w.isin(stopwords)
+
+
 def tokens(x: Column, stopwords: list[str] = STOPWORDS) -> Column:
     """F16: lower-case tokens of three characters or more that are not stopwords."""
-    words = F.split(F.trim(F.regexp_replace(F.lower(x), r"[^\p{L}\p{N}_\s-]+", " ")), r"\s+")
-    return F.filter(words, lambda w: (F.length(w) >= MIN_TOKEN) & ~w.isin(stopwords))
+    return F.filter(words_of(x), lambda w: is_token(w, stopwords))
 
 
 def token_set(x: Column) -> Column:

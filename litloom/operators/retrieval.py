@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
+from ..functions.text import is_token, tokens, words_of
 from ..functions.vectors import inner, norm
 from ..storage import cut
 
 K1, B, RRF = 1.5, 0.75, 60
+#: What no token is.
+MARK = "\u0000"
 #: Queries of a block of vectors.
 BLOCK = 500
 
@@ -34,11 +36,12 @@ def bm25(docs: DataFrame, queries: DataFrame, text: str = "text", id: str = "doc
     """
     asked = cut(query_terms(queries))
     words = asked.select("term", F.col("term").alias("hit")).distinct()
-    own = docs.select(F.col(id).alias("id"), tokens(F.col(text)).alias("terms")).withColumn("size", F.size("terms"))
-    own = own.select("id", "size", F.explode(F.concat("terms", F.array(F.lit("")))).alias("term"))  # "" is no token
-    counted = cut(own.join(words, "term", "left").groupBy("id", "size", F.col("hit").alias("term")).agg(F.count(F.lit(1)).alias("tf")))
-    tf = counted.where("term is not null")
-    corpus = counted.where("term is null").agg(F.count(F.lit(1)).alias("n"), F.avg("size").alias("mean"))
+    # Tokens are filtered as rows, inside code generation; the mark stands for the document itself.
+    own = docs.select(F.col(id).alias("id"), F.explode(F.concat(words_of(F.col(text)), F.array(F.lit(MARK)))).alias("term")).where((F.col("term") == MARK) | is_token(F.col("term")))
+    counted = cut(own.join(words, "term", "left").groupBy("id", F.col("hit").alias("term")).agg(F.count(F.lit(1)).alias("tf")))
+    sizes = counted.groupBy("id").agg((F.sum("tf") - 1).alias("size"))
+    tf = counted.where("term is not null").join(sizes, "id")
+    corpus = sizes.agg(F.count(F.lit(1)).alias("n"), F.avg("size").alias("mean"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     weights = asked.join(df, "term").join(F.broadcast(corpus))  # one row
     idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1), F.lit(0.0))
