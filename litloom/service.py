@@ -93,8 +93,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> li
     """Command line over a folder of Parquet tables: one line of JSON for each row; returns the lines."""
     ask = argparse.ArgumentParser(description="Ask a knowledge base in a folder of Parquet tables.")
     ask.add_argument("folder")
-    for flag in ("paper", "chunk", "entities", "statements", "search", "lexical"):
-        ask.add_argument(f"--{flag}", nargs="?" if flag in ("entities", "statements") else None, const="")
+    for flag in ("paper", "chunk", "search", "lexical"):
+        ask.add_argument(f"--{flag}")
+    for flag in ("entities", "statements"):  # of a category, or all
+        ask.add_argument(f"--{flag}", nargs="?", const="")
     for flag in ("quarantine", "aliases", "health"):
         ask.add_argument(f"--{flag}", action="store_true")
     ask.add_argument("--limit", type=int, default=20)
