@@ -1,21 +1,30 @@
 """Negative knowledge, gap dossiers, transfers between fields, hypotheses, their review and experiments.
 
-Batches of questions (gaps, methods, candidates) are small beside the corpus: ask() checks that and only then broadcasts
-them, since substring conditions leave no key to join by. Larger batches are to be split by the caller, but gaps, which
-verify_gaps takes in blocks of about MOST_ASKED.
+Batches of questions (methods, candidates) are small beside the corpus: ask() checks that and only then broadcasts them,
+since substring conditions leave no key to join by. Larger batches are to be split by the caller, but gaps, which
+verify_gaps takes in blocks of about MOST_ASKED gaps and MOST_TOKENS tokens: sharing() sends a block to the workers.
 """
 
 from __future__ import annotations
 
 import functools
+import re
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import ship
+from ..storage import spread
 from . import graphs, retrieval, selection
 
-MOST_ASKED = 1000
+MOST_ASKED, MOST_TOKENS = 1000, 100_000
+# Pairs in a batch that sharing() gives, words it keeps in a worker, and the longest of them.
+PAIRS, MEMO, MEMO_WORD = 65_536, 200_000, 64
+#: ASCII characters that no token has: a token's place in a text lies between two of them.
+_BETWEEN = re.compile(r"[\x00-,./:-@\[-^`{-\x7f]+")
 
 # Phrases, levels and scores of the rules below.
 SOLVED = ["we propose", "we present", "we demonstrate", "our method achieves"]
@@ -36,13 +45,77 @@ def ask(df: DataFrame) -> DataFrame:
     return F.broadcast(df)
 
 
-def asked_blocks(df: DataFrame) -> list[DataFrame]:
-    """df in parts by hash, of about MOST_ASKED rows at most, each to be broadcast: one part where df has no more."""
-    n = -(-df.count() // MOST_ASKED)
+def asked_blocks(df: DataFrame, tokens: str) -> list[DataFrame]:
+    """df in parts by hash, of about MOST_ASKED rows and MOST_TOKENS tokens at most: one part where df has no more."""
+    rows, total = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size(tokens)), F.lit(0))).first()
+    n = max(-(-rows // MOST_ASKED), -(-total // MOST_TOKENS))
     if n <= 1:
-        return [F.broadcast(df)]
+        return [df]
     place = F.pmod(F.xxhash64(*df.columns), F.lit(n))
-    return [F.broadcast(df.where(place == k)) for k in range(n)]
+    return [df.where(place == k) for k in range(n)]
+
+
+class Postings:
+    """The tokens of a block of gaps: which of them a text holds, as substrings in any case, and so how many of each gap's."""
+
+    def __init__(self, gaps: list[list[str]]):
+        owners: dict[str, list[int]] = {}
+        for gap, tokens in enumerate(gaps):
+            for token in tokens:
+                owners.setdefault(token, []).append(gap)
+        self.n, self.starts, self.memo = len(gaps), {}, {}
+        self.owners = [np.array(own, np.int32) for own in owners.values()]
+        for i, token in enumerate(owners):
+            self.starts.setdefault(token[: T.MIN_TOKEN], []).append((token, i))
+
+    def in_word(self, word: str) -> list[int]:
+        found = self.memo.get(word)
+        if found is None:
+            places = range(len(word) - T.MIN_TOKEN + 1)
+            found = list({i for at in places for token, i in self.starts.get(word[at : at + T.MIN_TOKEN], ()) if word.startswith(token, at)})
+            if len(word) <= MEMO_WORD:
+                if len(self.memo) >= MEMO:
+                    self.memo.clear()
+                self.memo[word] = found
+        return found
+
+    def held(self, low: str | None, least: int) -> np.ndarray:
+        """The gaps of which the text, in lower case, holds `least` tokens or more; a token counts as often as its gap has it."""
+        tokens = {i for word in set(_BETWEEN.split(low or "")) for i in self.in_word(word)}
+        if not tokens:
+            return np.empty(0, np.int64)
+        return np.flatnonzero(np.bincount(np.concatenate([self.owners[i] for i in tokens]), minlength=self.n) >= least)
+
+
+def sharing(rows: DataFrame, block: DataFrame, least: int = 2, pairs: int = PAIRS) -> DataFrame:
+    """gid and the columns of rows but text, for every gap of the block (gid, _t: its tokens) and every row whose text holds
+    `least` of its tokens. The block's tokens go to the workers once, each text is read once, and nothing is shuffled."""
+    asked = block.select("gid", "_t").toArrow()
+    gids, posted = asked.column("gid").combine_chunks(), Postings(asked.column("_t").to_pylist())
+    kept = [c for c in rows.columns if c != "text"]
+
+    def give(batch, at, gaps):
+        here, there = pa.array(np.concatenate(at)), pa.array(np.concatenate(gaps))
+        return pa.RecordBatch.from_arrays([gids.take(there), *[batch.column(c).take(here) for c in kept]], names=["gid", *kept])
+
+    def run(batches):
+        for batch in batches:
+            at, gaps, n = [], [], 0
+            for i, low in enumerate(batch.column("_low")):
+                met = posted.held(low.as_py(), least)
+                if met.size:
+                    at.append(np.full(met.size, i))
+                    gaps.append(met)
+                    n += met.size
+                if n >= pairs:
+                    yield give(batch, at, gaps)
+                    at, gaps, n = [], [], 0
+            if n:
+                yield give(batch, at, gaps)
+
+    ship(rows.sparkSession)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in [block.schema["gid"], *[rows.schema[c] for c in kept]])
+    return rows.select(*kept, F.lower("text").alias("_low")).mapInArrow(run, schema)
 
 
 def any_in(text: Column, phrases: list[str]) -> Column:
@@ -86,16 +159,18 @@ def verify_gaps(gaps: DataFrame, hits: DataFrame, docs: DataFrame, statements: D
     once a gap; docs: id, text, paper; statements: id, text, paper, category; titles: paper, title."""
     asked = gaps.select("gid", T.tokens(F.col("text")).alias("_t"))
     n_in = lambda tokens, text: F.size(F.filter(tokens, lambda t: F.contains(F.lower(text), t)))
+    excerpt = F.substring("text", 1, 250)
     read = hits.select("gid", "id", "score").join(docs.select("id", "text", "paper"), "id").join(asked, "gid")
     precedent = (n_in(F.slice("_t", 1, 3), F.col("text")) >= 2) & any_in(F.col("text"), solved) & (F.col("score") > threshold)
     relation = F.when(precedent, "DIRECT_PRECEDENT").when(any_in(F.col("text"), still), "SUPPORTING_EVIDENCE")
-    found = read.select("gid", F.concat(F.lit("hit_"), "id").alias("ref"), "paper", "text", F.col("score").cast("double").alias("score"), relation.alias("relation"))
-    told = statements.where(F.col("category").isin("LIMITATION", "FAILURE_MODE", "RESULT"))
-    near = functools.reduce(DataFrame.unionByName, [told.join(part, n_in(F.col("_t"), F.col("text")) >= 2) for part in asked_blocks(asked)])
+    found = read.select("gid", F.concat(F.lit("hit_"), "id").alias("ref"), "paper", F.col("score").cast("double").alias("score"), relation.alias("relation"), excerpt.alias("excerpt"))
     stated = F.col("category") != "RESULT"
     relation = F.when(stated, "SUPPORTING_EVIDENCE").when(any_in(F.col("text"), negative), "CONTRADICTORY_FINDING")
-    found = found.unionByName(near.select("gid", F.concat(F.lit("stmt_"), "id").alias("ref"), "paper", "text", F.when(stated, STATED_SCORE).otherwise(CONTRARY_SCORE).alias("score"), relation.alias("relation")))
-    found = found.where("relation is not null")
+    told = statements.where(F.col("category").isin("LIMITATION", "FAILURE_MODE", "RESULT"))
+    told = told.select(F.concat(F.lit("stmt_"), "id").alias("ref"), "paper", "text", F.when(stated, STATED_SCORE).otherwise(CONTRARY_SCORE).alias("score"), relation.alias("relation"))
+    told = spread(told).where("relation is not null")
+    near = functools.reduce(DataFrame.unionByName, [sharing(told, part) for part in asked_blocks(asked, "_t")])
+    found = found.where("relation is not null").unionByName(near, allowMissingColumns=True)
     of = lambda r: F.count_if(F.col("relation") == r)
     sums = found.groupBy("gid").agg(of("DIRECT_PRECEDENT").alias("precedents"), of("CONTRADICTORY_FINDING").alias("contradictions"), of("SUPPORTING_EVIDENCE").alias("supporting"))
     sizes = hits.groupBy("gid").agg(F.count_distinct("id").alias("hits"))
@@ -103,8 +178,10 @@ def verify_gaps(gaps: DataFrame, hits: DataFrame, docs: DataFrame, statements: D
     status = F.when(F.col("precedents") > 0, "EVIDENCE_AGAINST_GAP").when(F.col("contradictions") > 0, "REQUIRES_REVIEW").when((F.col("supporting") == 0) & (F.col("hits") < 2), "INSUFFICIENT_EVIDENCE").otherwise("POSSIBLE_GAP")
     side = F.when(F.col("relation") == "SUPPORTING_EVIDENCE", "SUPPORTING").otherwise("OPPOSING")
     best = selection.quota(found.withColumn("side", side), ["gid", "side"], [F.desc("score"), "ref"], FINDINGS)
+    said = told.select("ref", excerpt.alias("_said")).groupBy("ref").agg(F.min("_said").alias("_said"))
+    best = best.join(said, "ref", "left").withColumn("excerpt", F.coalesce("excerpt", "_said")).drop("_said")
     best = best.join(titles.select("paper", "title"), "paper", "left").withColumn("title", F.coalesce("title", F.concat(F.lit("Paper "), F.col("paper").cast("string"))))
-    return out.withColumn("status", status), best.withColumn("excerpt", F.substring("text", 1, 250)).drop("text")
+    return out.withColumn("status", status), best
 
 
 def target_domain(problem: Column) -> Column:

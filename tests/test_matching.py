@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from litloom.functions import sections
+from litloom.functions import text as T
 from litloom.operators import audits, dossiers, matching, selection
 
 TITLES = [
@@ -78,6 +79,28 @@ def test_any_number_of_gaps(spark):
     assert {(r.gid, r.precedents, r.contradictions, r.supporting, r.hits) for r in out.collect()} == want and out.count() == len(gaps)
 
 
+def test_sharing_equals_brute_force(spark):
+    gaps = [(1, "Graph graph of trees"), (2, "self-play über_net a1b"), (3, ""), (4, None), (5, "nets 1b2 trees"), (5, "nets 1b2 trees")]
+    texts = ["GRAPHS", "hypertrees subgraph", "x-self-play-x/übER_NETS", "a1b2,nets", "", None, "tree", "a1b\tüber_net", "über net\u2003nets.trees", "graph" * 5000 + "-trees"] * 3
+    rows = spark.createDataFrame(list(enumerate(texts)), "n int, text string").withColumn("tags", F.array(F.lit("t")))
+    block = spark.createDataFrame(gaps, "gid int, text string").select("gid", T.tokens(F.col("text")).alias("_t"))
+    got = sorted((r.gid, r.n) for r in dossiers.sharing(rows, block, pairs=3).collect())
+    asked = [(r.gid, r._t) for r in block.collect()]
+    want = sorted((gid, n) for gid, tokens in asked for n, said in enumerate(texts) if sum(t in (said or "").lower() for t in tokens) >= 2)
+    assert got == want and len(want) > 20
+    assert dossiers.sharing(rows.limit(0), block).count() == dossiers.sharing(rows, block.limit(0)).count() == 0
+
+
+def test_findings_have_excerpts(spark):
+    gaps = spark.createDataFrame([(1, "graph trees")], "gid int, text string")
+    docs = spark.createDataFrame([(1, "we propose graph trees", "p")], "id int, text string, paper string")
+    statements = spark.createDataFrame([(n, "Graph trees " + "x" * 300, "q", "LIMITATION") for n in range(9)], "id int, text string, paper string, category string")
+    hits, titles = spark.createDataFrame([(1, 1, 0.9)], "gid int, id int, score double"), spark.createDataFrame([("p", "One")], "paper string, title string")
+    _, best = dossiers.verify_gaps(gaps, hits, docs, statements, titles)
+    rows = {r.ref: (r.side, r.title, len(r.excerpt)) for r in best.collect()}
+    assert rows == {"hit_1": ("OPPOSING", "One", 22)} | {f"stmt_{n}": ("SUPPORTING", "Paper q", 250) for n in range(dossiers.FINDINGS)}
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "id long, kind string, src long, dst long, predicate string")
     row = audits.graph_report(none.select("id", "kind"), none.select("src", "dst", "predicate")).first()
