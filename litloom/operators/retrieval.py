@@ -32,20 +32,22 @@ def bm25(docs: DataFrame, queries: DataFrame, text: str = "text", id: str = "doc
 
     A text is tokenised once: its tokens meet the asked terms (a join, so Spark broadcasts them where they are few), and
     all it has besides becomes one row of its own, which counts it and its size. These rows are settled; corpus size and
-    mean, document frequencies and scores start from them.
+    mean, document frequencies and scores start from them. The weights are settled as well, so that their size is known
+    when the scores are planned: broadcast, they leave the rows dealt out by id, and no pair of a query and a document is
+    shuffled before it has its score.
     """
     asked = cut(query_terms(queries))
     words = asked.select("term", F.col("term").alias("hit")).distinct()
     # Tokens are filtered as rows, inside code generation; the mark stands for the document itself.
     own = docs.select(F.col(id).alias("id"), F.explode(F.concat(words_of(F.col(text)), F.array(F.lit(MARK)))).alias("term")).where((F.col("term") == MARK) | is_token(F.col("term")))
     counted = cut(own.join(words, "term", "left").groupBy("id", F.col("hit").alias("term")).agg(F.count(F.lit(1)).alias("tf")))
-    sizes = counted.groupBy("id").agg((F.sum("tf") - 1).alias("size"))
-    tf = counted.where("term is not null").join(sizes, "id")
-    corpus = sizes.agg(F.count(F.lit(1)).alias("n"), F.avg("size").alias("mean"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    n = F.count_if(F.col("term").isNull())
+    corpus = counted.agg(n.alias("n"), ((F.sum("tf") - n) / F.nullif(n, F.lit(0))).alias("mean"))
+    df = counted.where("term is not null").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     weights = asked.join(df, "term").join(F.broadcast(corpus))  # one row
     idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1), F.lit(0.0))
-    weights = weights.select("qid", "term", (idf * F.col("times")).alias("idf"), "mean")
+    weights = cut(weights.select("qid", "term", (idf * F.col("times")).alias("idf"), "mean"))
+    tf = counted.withColumn("size", F.sum("tf").over(Window.partitionBy("id")) - 1).where("term is not null")
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("mean")))
     return tf.join(weights, "term").groupBy("qid", "id").agg(F.sum(part).alias("score"))
 
