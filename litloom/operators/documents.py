@@ -11,6 +11,8 @@ import re
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
 from ..functions.sections import protect, unprotect
 from ..functions.text import furniture_key
@@ -138,21 +140,18 @@ def sentence_chunks(text: str | None) -> list[str]:
 def per_text(df: DataFrame, key: str, text: str, make, item: str) -> DataFrame:
     """key, ordinal, item columns: one row for each thing make(text) gives."""
     kind = df.schema[key].dataType.simpleString()
+    items = pa.list_(to_arrow_type(DataType.fromDDL(item)))
 
     def run(batches):
         for batch in batches:
-            keys, texts = (c.to_pylist() for c in batch.columns)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([make(t) for t in texts], pa.list_(_ARROW[item]))], names=[key, "items"])
-            del keys
+            made = [make(t.as_py()) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, items)], names=[key, "items"])
 
     ship(df.sparkSession)
     rows = df.select(key, text).mapInArrow(run, f"`{key}` {kind}, items array<{item}>")
     return rows.select(key, F.posexplode("items").alias("ordinal", "item"))
 
 
-_ARROW = {"string": pa.string(), "struct<start:int,end:int>": pa.struct([("start", pa.int32()), ("end", pa.int32())])}
-
-
 def sentence_rows(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     found = per_text(df, key, text, _spans, "struct<start:int,end:int>")
     return found.select(key, "ordinal", "item.start", "item.end")

@@ -33,13 +33,27 @@ def e1(spark, sf_dir):
     return extraction.entities(whole_texts(spark, sf_dir), LEXICON)
 
 
-CUES = " ".join(f"WHEN regexp_matches(lower(line), '{cue}') THEN '{kind}'" for kind, cue in extraction.STATEMENTS)
+def kinds_sql(version):
+    cases = [f"WHEN regexp_matches(line, '{extraction.cue(kind, version)}') THEN '{kind}'" for kind in extraction.KINDS[version]]
+    first = [f"WHEN regexp_matches(line, '{extraction.DECLARED}') THEN 'CLAIM'"] if version != "0.4.0" else []
+    return f"CASE WHEN length(line) >= {extraction.SHORTEST[version]} THEN CASE {' '.join(first + cases)} END END"
 
 
-@query("E4_statement_kinds", f"SELECT doc_id, line, CASE WHEN length(line) >= 20 THEN CASE {CUES} END END AS kind FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)")
+@query("E4_statement_kinds", rf"SELECT doc_id, line, {kinds_sql('0.4.0')} AS kind, {kinds_sql('0.4.1')} AS later FROM (SELECT doc_id, regexp_replace(unnest(string_split(text, chr(10))), '^\s+|\s+$', '', 'g') AS line FROM documents)")
 def e4(spark, sf_dir):
     lines = read(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
-    return lines.select("doc_id", "line", extraction.statement_kind(c("line")).alias("kind"))
+    lines = lines.select("doc_id", F.regexp_replace("line", r"^\s+|\s+$", "").alias("line"))
+    return lines.select("doc_id", "line", extraction.statement_kind(c("line")).alias("kind"), extraction.statement_kind(c("line"), "0.4.1").alias("later"))
+
+
+@query("E3_E4_statements")
+def e3(spark, sf_dir):
+    return extraction.statements(whole_texts(spark, sf_dir), "0.4.1")
+
+
+@query("E2_frame_entities")
+def e2(spark, sf_dir):
+    return extraction.scientific_entities(whole_texts(spark, sf_dir), {"DATASET": LEXICON["LICENSE"], "TERM": LEXICON["LINK"]})
 
 
 @query("J10_interval_join", "SELECT a.conv_id, a.turn AS first, b.turn AS inner_turn FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn >= a.turn AND b.turn + 1 <= a.turn + 2")

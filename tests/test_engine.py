@@ -154,3 +154,31 @@ def test_paragraphs_over_pages_and_parents(spark):
     levels = [3, 2, 3, 1, 3, 2, 3, 4, 1, 3, None]
     headers = spark.createDataFrame([("d", i, i, n) for i, n in enumerate(levels)], "doc_id string, ordinal int, id int, level int")
     assert [r.parent for r in documents.section_parents(headers).orderBy("id").collect()] == [None, None, 1, None, 3, 3, 5, 5, None, 8, None]
+
+
+def test_frames_and_cues(spark):
+    said = "We propose a sparse routing model here. The problem of class imbalance and noise: We assume that all nodes agree. It was trained on a large dataset of chest images, including CT. Accuracy beyond accuracy. K-NN and knn, big knn."
+    lexicon = {"METHOD": ["knn", "big knn", "sparse routing"], "METRIC": ["accuracy"], "TASK": ["class imbalance"]}
+    rows = spark.createDataFrame([(1, said), (2, None), (3, "")], "doc_id int, text string")
+    later = [("METHOD", "sparse routing model", 0.88), ("PROBLEM", "class imbalance", 0.86), ("DATASET", "chest images", 0.88), ("ASSUMPTION", "all nodes agree", 0.85), ("METHOD", "big knn", 0.95), ("METHOD", "KNN", 0.95)]
+    got = extraction.scientific_entities(rows, lexicon).orderBy("ordinal").collect()
+    assert [(r.category, r.name, r.confidence) for r in got] == later and all(said[r.start : r.end].lower() == r.name.lower() for r in got)
+    first = [(r["category"], r["name"]) for r in extraction.scientific_spans(said, lexicon, "0.4.0")]
+    assert len(first) == 10 and first.count(("METHOD", "KNN")) == 2 and ("PROBLEM", "class imbalance and noise") in first and ("TASK", "class imbalance") in first
+    assert [said[a:b] for a, b in extraction.cue_sentences(said, "0.4.1")][1:3] == ["The problem of class imbalance and noise:", "We assume that all nodes agree."] and len(extraction.cue_sentences(said)) == 5
+    assert extraction.cue_sentences(" A b.\n\"C d e. ") == [(1, 5), (6, 14)] and extraction.cue_sentences("  ") == extraction.cue_sentences(None) == []
+    assert extraction.scientific_entities(rows.limit(0), lexicon).count() == extraction.statements(rows.limit(0)).count() == 0
+
+
+def test_statement_versions(spark):
+    cases = [
+        ("It suffers from noise and future work remains.", "LIMITATION", "LIMITATION"), ("In future work it fails to converge at all.", "FUTURE_DIRECTION", "FAILURE_MODE"),
+        ("We examine all of the cases here.", None, "CLAIM"), ("We propose it", None, None), ("Our main contributions are two new nets.", None, "CLAIM"), ("Nothing of note is told in here.", None, None),
+        ("Future work: results show that x is y.", "FUTURE_DIRECTION", "RESULT"),
+    ]
+    rows = spark.createDataFrame(list(enumerate(cases)), "n int, c struct<said:string,first:string,later:string>").select("n", "c.*")
+    got = rows.select(extraction.statement_kind(F.col("said")).alias("a"), extraction.statement_kind(F.col("said"), "0.4.1").alias("b")).collect()
+    assert sorted((r.a or "", r.b or "") for r in got) == sorted((a or "", b or "") for _, a, b in cases)
+    text = "Our main contributions are: One new net for all. All else is plain prose."
+    found = extraction.statements(spark.createDataFrame([(1, text), (2, "It suffers from noise a lot."), (3, None)], "doc_id int, text string"), "0.4.1").collect()
+    assert sorted((r.doc_id, r.start, r.end, r.kind, r.confidence) for r in found) == [(1, 0, 27, "CLAIM", 0.96), (1, 28, 48, "CLAIM", 0.96), (1, 49, 73, "CLAIM", 0.96), (2, 0, 28, "LIMITATION", 0.94)]
