@@ -71,9 +71,26 @@ def p9(spark, sf_dir):
     return docs.select("doc_id", extraction.grounding(c("text"), F.lit("the"), F.lit(2), F.lit(5), F.lit(0.9)).alias("verdict"))
 
 
-@query("SRC11_payload_verdict", "SELECT page_id, CASE WHEN html IS NULL OR html = '' THEN 'EMPTY' WHEN regexp_matches(lower(substr(html, 1, 1024)), '^\\s*(<!doctype html|<html)') THEN 'HTML' ELSE 'NOT_PDF' END AS verdict FROM pages")
+SRC11 = f"""WITH h AS (SELECT page_id, html, lower(substr(html, 1, {readers.HEAD})) AS head, contains(substr(html, 1, {readers.MAGIC_HEAD}), '%PDF-') AS magic FROM pages)
+SELECT page_id, strlen(coalesce(html, '')) AS size, CASE WHEN html <> '' THEN sha256(html) END AS sha256, CASE WHEN coalesce(html, '') = '' THEN 'EMPTY_FILE'
+  WHEN regexp_matches(head, '{"|".join(readers.HTML)}') OR (page_id % 5 = 0 AND NOT magic) THEN CASE WHEN regexp_matches(head, '{"|".join(readers.PAYWALL)}') THEN 'PAYWALL' ELSE 'HTML_NOT_PDF' END
+  WHEN NOT magic OR strlen(html) < {readers.LEAST_BYTES} THEN 'INVALID_PDF' ELSE 'SUCCESS_PDF' END AS verdict FROM h"""
+
+
+@query("SRC11_payload_verdict", SRC11)
 def src11(spark, sf_dir):
-    return read(spark, sf_dir, "pages").select("page_id", readers.pdf_verdict(c("html").cast("binary")).alias("verdict"))
+    found = readers.artifact(c("html").cast("binary"), F.expr("if(page_id % 5 = 0, 'text/html; charset=utf-8', null)"))
+    return read(spark, sf_dir, "pages").select("page_id", found.alias("a")).select("page_id", "a.*")
+
+
+@query("SRC14_download_status", """WITH u AS (SELECT page_id, CASE WHEN page_id % 4 = 0 THEN url WHEN page_id % 4 = 1 THEN 'https://arxiv.org/pdf/' || page_id || '.pdf' WHEN page_id % 4 = 2 THEN url || '/open' END AS found FROM pages)
+SELECT page_id, found, CASE WHEN found IS NULL THEN 'FULLTEXT_UNAVAILABLE' WHEN page_id % 7 = 0 THEN 'FULLTEXT_AVAILABLE' WHEN page_id % 11 = 0 OR page_id % 13 = 0 OR (page_id % 3 = 0 AND NOT contains(found, 'arxiv.org') AND NOT contains(found, 'pdf')) OR page_id % 17 = 0 THEN 'FULLTEXT_FAILED' ELSE 'FULLTEXT_AVAILABLE' END AS status FROM u""")
+def src14(spark, sf_dir):
+    pick = lambda k, then: F.expr(f"if(page_id % 4 = {k}, {then}, '')")
+    rows = read(spark, sf_dir, "pages").select("page_id", readers.download_url(pick(0, "url"), pick(1, "string(page_id)"), pick(2, "concat(url, '/open')")).alias("found"))
+    code = F.expr("case when page_id % 11 = 0 then 403 when page_id % 13 = 0 then null else 200 end")
+    kind, size = F.expr("if(page_id % 3 = 0, 'Text/HTML', null)"), F.expr(f"if(page_id % 17 = 0, {readers.MOST_BYTES + 1}, 10)")
+    return rows.select("page_id", "found", readers.download_status(c("found"), c("page_id") % 7 == 0, code, kind, size).alias("status"))
 
 
 @query("SRC12_fulltext_url", "SELECT page_id, coalesce(CASE WHEN page_id % 3 = 0 THEN url END, CASE WHEN page_id % 3 = 1 THEN concat('https://arxiv.org/pdf/', page_id) END, url) AS found FROM pages")

@@ -7,6 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
+# What a page has that is no PDF, in its first HEAD bytes, and which of those pages ask for money.
+HTML = [r"<!doctype\s+html", r"<html\b", r"<head\b", r"<body\b", r"access\s+denied", r"sign\s+in\s+to\s+view", r"purchase\s+pdf", r"subscription\s+required", "cloudflare", "captcha"]
+PAYWALL = ["access denied", "paywall", "purchase", "subscription"]
+HEAD, MAGIC_HEAD, LEAST_BYTES, MOST_BYTES = 4096, 1024, 100, 50 * 1024 * 1024
+
 PAPER = "source string, source_id string, doi string, title string, abstract string, year int, authors array<string>"
 
 
@@ -60,16 +65,24 @@ def csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).csv(path, header=True)
 
 
-def pdf_verdict(content: Column) -> Column:
-    """SRC11: what is wrong with downloaded bytes, or VALID."""
-    head = F.lower(F.decode(F.substring(content, 1, 1024), "ISO-8859-1"))
+def pdf_verdict(content: Column, content_type: Column | None = None) -> Column:
+    """SRC11: what is wrong with downloaded bytes (null and no bytes: EMPTY_FILE), or SUCCESS_PDF. Pages are not parsed here."""
+    head = F.lower(F.decode(F.substring(content, 1, HEAD), "ISO-8859-1"))
+    magic = F.decode(F.substring(content, 1, MAGIC_HEAD), "ISO-8859-1").contains("%PDF-")
+    said = F.lit(False) if content_type is None else F.coalesce(F.lower(content_type).contains("text/html"), F.lit(False))
+    page = F.when(head.rlike("|".join(PAYWALL)), "PAYWALL").otherwise("HTML_NOT_PDF")
     return (
-        F.when(content.isNull() | (F.length(content) == 0), "EMPTY").when(head.rlike(r"^\s*(<!doctype html|<html)"), "HTML")
-        .when(head.rlike("purchase this article|sign in to continue"), "PAYWALL").when(~head.contains("%pdf-"), "NOT_PDF")
-        .when(F.length(content) < 100, "TOO_SMALL").otherwise("VALID")
+        F.when(content.isNull() | (F.length(content) == 0), "EMPTY_FILE").when(head.rlike("|".join(HTML)) | (said & ~magic), page)
+        .when(~magic | (F.length(content) < LEAST_BYTES), "INVALID_PDF").otherwise("SUCCESS_PDF")
     )
 
 
+def artifact(content: Column, content_type: Column | None = None) -> Column:
+    """SRC11: struct<verdict, size, sha256> of downloaded bytes; no hash of none."""
+    size = F.coalesce(F.length(content), F.lit(0)).cast("long")
+    return F.struct(pdf_verdict(content, content_type).alias("verdict"), size.alias("size"), F.when(size > 0, F.sha2(content, 256)).alias("sha256"))
+
+
 def fulltext_url(pdf: Column, arxiv: Column, repository: Column, open_access: Column) -> Column:
     """SRC12: the first URL there is, in this order."""
     return F.coalesce(pdf, F.concat(F.lit("https://arxiv.org/pdf/"), arxiv), repository, open_access)
@@ -97,6 +110,20 @@ def retry_delay(attempt: Column, retry_after: Column, code: Column, most: int =
     return F.when(again, F.coalesce(retry_after.cast("double"), F.pow(F.lit(1.5), attempt)))
 
 
+def download_url(known: Column, arxiv: Column, open_access: Column) -> Column:
+    """SRC14: where a full text is fetched from: the known URL, arXiv's, the open one; an empty one is none."""
+    known, arxiv, open_access = (F.nullif(c, F.lit("")) for c in (known, arxiv, open_access))
+    return F.coalesce(known, F.concat(F.lit("https://arxiv.org/pdf/"), arxiv, F.lit(".pdf")), open_access)
+
+
+def download_status(url: Column, cached: Column, code: Column, content_type: Column, size: Column, most: int = MOST_BYTES) -> Column:
+    """SRC14: outcome of one download. No code (no answer), a code but 200, a page where no PDF was asked for (a login wall),
+    and more than `most` bytes are failures; a copy that is there is not fetched again."""
+    wall = F.coalesce(F.lower(content_type).contains("text/html"), F.lit(False)) & ~(url.contains("arxiv.org") | url.contains("pdf"))
+    bad = F.coalesce(code != 200, F.lit(True)) | wall | F.coalesce(size > most, F.lit(False))
+    return F.when(url.isNull(), "FULLTEXT_UNAVAILABLE").when(cached, "FULLTEXT_AVAILABLE").when(bad, "FULLTEXT_FAILED").otherwise("FULLTEXT_AVAILABLE")
+
+
 def collected(attempts: DataFrame) -> DataFrame:
     """SRC14: number and share of each status of attempts."""
     own = attempts.groupBy("status").agg(F.count(F.lit(1)).alias("n"))

@@ -182,3 +182,13 @@ def test_statement_versions(spark):
     text = "Our main contributions are: One new net for all. All else is plain prose."
     found = extraction.statements(spark.createDataFrame([(1, text), (2, "It suffers from noise a lot."), (3, None)], "doc_id int, text string"), "0.4.1").collect()
     assert sorted((r.doc_id, r.start, r.end, r.kind, r.confidence) for r in found) == [(1, 0, 27, "CLAIM", 0.96), (1, 28, 48, "CLAIM", 0.96), (1, 49, 73, "CLAIM", 0.96), (2, 0, 28, "LIMITATION", 0.94)]
+
+
+def test_downloads(spark):
+    pdf = b"%PDF-1.7 " + b"x" * 200
+    cases = [(None, None, "EMPTY_FILE"), (b"", None, "EMPTY_FILE"), (pdf, "text/html", "SUCCESS_PDF"), (b"%PDF-", None, "INVALID_PDF"), (b"x" * 2000 + pdf, None, "INVALID_PDF"), (b"\xff" * 300, "Text/HTML", "HTML_NOT_PDF"), (b" <BODY class=a>", None, "HTML_NOT_PDF"), (b"Access  denied; purchase", None, "PAYWALL"), (pdf + b" " * 5000 + b"<html>", None, "SUCCESS_PDF")]
+    rows = spark.createDataFrame([(bytearray(a) if a is not None else None, b, w) for a, b, w in cases], "a binary, b string, w string")
+    assert all(r.v.verdict == r.w and (r.v.sha256 is None) == (r.v.size == 0) for r in rows.select("w", readers.artifact(F.col("a"), F.col("b")).alias("v")).collect())
+    rows = spark.createDataFrame([("", "", None, 200, None, 1, "FULLTEXT_UNAVAILABLE"), ("u", "1", "o", None, None, 1, "FULLTEXT_FAILED"), (None, "1", "o", 200, "text/html", 1, "FULLTEXT_AVAILABLE"), ("", None, "o", 200, "text/html", 1, "FULLTEXT_FAILED"), ("u", None, "o", 200, None, readers.MOST_BYTES + 1, "FULLTEXT_FAILED")], "k string, a string, o string, code int, kind string, size long, w string")
+    url = readers.download_url(F.col("k"), F.col("a"), F.col("o"))
+    assert all(r.v == r.w for r in rows.select("w", readers.download_status(url, F.lit(False), F.col("code"), F.col("kind"), F.col("size")).alias("v")).collect())
