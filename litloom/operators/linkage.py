@@ -55,6 +55,27 @@ def years_agree(a: Column, b: Column) -> Column:
     return a.isNull() | b.isNull() | (F.abs(a - b) <= 1)
 
 
+def count_years_agree(records: DataFrame, key: str, id: str, year: str, missing: bool = True) -> DataFrame:
+    """J9 over a table: n, the number of pairs of rows with one key and different ids whose years (whole numbers) agree, from
+    the numbers of rows by key and year: no pair is made. missing: a missing year matches."""
+    rows = records.where(F.col(key).isNotNull() & F.col(id).isNotNull()).select(F.col(key).alias("k"), F.col(id).alias("i"), F.col(year).cast("long").alias("y"))
+    each = rows.groupBy("k", "i", "y").agg(F.count(F.lit(1)).alias("n"))
+    all_of, own = (_agreeing(g, by, missing) for g, by in ((each.groupBy("k", "y").agg(F.sum("n").alias("n")), ["k"]), (each, ["k", "i"])))
+    return all_of.unionByName(own.select((-F.col("n")).alias("n"))).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+
+
+def _agreeing(groups: DataFrame, by: list[str], missing: bool) -> DataFrame:
+    """n in parts, to be summed: pairs of the n rows of each y, of neighbouring y and, if asked for, with a missing one, within by."""
+    pairs = lambda n: F.expr(f"{n} * ({n} - 1) div 2")
+    known = groups.where("y is not null")
+    after = known.select(*by, (F.col("y") - 1).alias("y"), F.col("n").alias("m"))
+    parts = known.select(pairs("n").alias("n")).unionByName(known.join(after, [*by, "y"]).select((F.col("n") * F.col("m")).alias("n")))
+    if missing:
+        sums = groups.groupBy(by).agg(F.sum("n").alias("n"), F.coalesce(F.sum(F.when(F.col("y").isNull(), F.col("n"))), F.lit(0)).alias("m"))
+        parts = parts.unionByName(sums.select((pairs("m") + F.expr("m * (n - m)")).alias("n")))
+    return parts
+
+
 def best_row(df: DataFrame, key: str, order: list) -> DataFrame:
     rank = Window.partitionBy(key).orderBy(*order)
     return df.withColumn("_rank", F.row_number().over(rank)).where("_rank = 1").drop("_rank")

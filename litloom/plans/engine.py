@@ -270,8 +270,7 @@ def j1(spark, sf_dir):
 
 @query("J9_year_range_join", "SELECT count(*) AS n FROM part a JOIN part b ON a.p_name = b.p_name AND a.p_partkey < b.p_partkey AND abs(a.p_size - b.p_size) <= 1")
 def j9(spark, sf_dir):
-    a, b = (read(spark, sf_dir, "part").select(c("p_name").alias("name"), c("p_partkey").alias(f"{x}_id"), c("p_size").alias(f"{x}_year")) for x in "ab")
-    return a.join(b, "name").where("a_id < b_id").where(linkage.years_agree(c("a_year"), c("b_year"))).agg(F.count(F.lit(1)).alias("n"))
+    return linkage.count_years_agree(read(spark, sf_dir, "part"), "p_name", "p_partkey", "p_size", missing=False)
 
 
 @query("J17_U4_strict_match", "SELECT count(*) AS n FROM (SELECT doc_id, quality FROM labels INTERSECT SELECT doc_id, CASE WHEN n_chars > 300 THEN 1 ELSE 0 END FROM documents)")

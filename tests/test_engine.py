@@ -192,3 +192,21 @@ def test_downloads(spark):
     rows = spark.createDataFrame([("", "", None, 200, None, 1, "FULLTEXT_UNAVAILABLE"), ("u", "1", "o", None, None, 1, "FULLTEXT_FAILED"), (None, "1", "o", 200, "text/html", 1, "FULLTEXT_AVAILABLE"), ("", None, "o", 200, "text/html", 1, "FULLTEXT_FAILED"), ("u", None, "o", 200, None, readers.MOST_BYTES + 1, "FULLTEXT_FAILED")], "k string, a string, o string, code int, kind string, size long, w string")
     url = readers.download_url(F.col("k"), F.col("a"), F.col("o"))
     assert all(r.v == r.w for r in rows.select("w", readers.download_status(url, F.lit(False), F.col("code"), F.col("kind"), F.col("size")).alias("v")).collect())
+
+
+def test_year_range_join_counts_without_pairs(spark, tmp_path):
+    """The query against its SQL on odd rows (no size, no name, no key, one key twice), the rule against brute force, and a large group."""
+    rows = [(i, "ab"[i % 2], i * 7 % 5 - 2 if i % 6 else None) for i in range(40)] + [(3, "b", 0), (3, "b", 1), (4, "b", 0), (50, None, 1), (51, None, 1), (None, "a", 1), (52, "", 1), (53, "", 2), (54, "a", 2**31 - 1), (55, "a", 2**31 - 2), (56, "c", None)]
+    frame = spark.createDataFrame(rows, "p_partkey long, p_name string, p_size int")
+    frame.coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW part AS SELECT p_partkey, p_name, p_size::BIGINT AS p_size FROM '{tmp_path}/part.parquet/*.parquet'")
+    got, want = catalog.queries()["J9_year_range_join"](spark, str(tmp_path)), con.sql(catalog.oracle_sql()["J9_year_range_join"]).fetchall()
+    assert [tuple(r) for r in got.collect()] == want and want[0][0] > 100
+    agree = lambda x, y: x is None or y is None or abs(x - y) <= 1
+    whole = [r for r in rows if None not in r[:2]]
+    n = sum(p[0] != q[0] and p[1] == q[1] and agree(p[2], q[2]) for i, p in enumerate(whole) for q in whole[:i])
+    assert linkage.count_years_agree(frame, "p_name", "p_partkey", "p_size").first().n == n > want[0][0]
+    assert linkage.count_years_agree(frame.where("false"), "p_name", "p_partkey", "p_size").first().n == 0
+    large = spark.range(300_000).selectExpr("id AS p_partkey", "'x' AS p_name", "int(id % 2) AS p_size")
+    assert linkage.count_years_agree(large, "p_name", "p_partkey", "p_size").first().n == 300_000 * 299_999 // 2
